@@ -1,9 +1,11 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from . import packing, poisson_mix
+from . import line_dedup, packing, poisson_mix, token_rollup
 
 QUERIES = {
+    "op1_token_rollup": token_rollup.query,
     "op5_poisson_mix": poisson_mix.query,
     "op6_best_fit_packing": packing.query,
+    "op8_line_dedup": line_dedup.query,
 }
-SQL = {"op5_poisson_mix": poisson_mix.SQL}
+SQL = {"op5_poisson_mix": poisson_mix.SQL, "op8_line_dedup": line_dedup.SQL}
