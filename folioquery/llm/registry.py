@@ -1,11 +1,12 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from . import line_dedup, packing, poisson_mix, token_rollup, toxic_grammar
+from . import disclosure, line_dedup, packing, poisson_mix, token_rollup, toxic_grammar
 
 QUERIES = {
     "op1_token_rollup": token_rollup.query,
     "op5_poisson_mix": poisson_mix.query,
     "op6_best_fit_packing": packing.query,
+    "op7_disclosure_pii": disclosure.query,
     "op8_line_dedup": line_dedup.query,
     "op10_toxic_grammar": toxic_grammar.query,
 }
