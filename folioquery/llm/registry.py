@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from . import disclosure, line_dedup, packing, pivot_search, poisson_mix, sphere_dedup, token_rollup, toxic_grammar
+from . import bottomk_dedup, disclosure, line_dedup, packing, pivot_search, poisson_mix, sphere_dedup, token_rollup, toxic_grammar
 
 QUERIES = {
     "op1_token_rollup": token_rollup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.query,
     "op7_disclosure_pii": disclosure.query,
     "op8_line_dedup": line_dedup.query,
+    "op9_bottomk_dedup": bottomk_dedup.query,
     "op10_toxic_grammar": toxic_grammar.query,
 }
 SQL = {"op5_poisson_mix": poisson_mix.SQL, "op8_line_dedup": line_dedup.SQL}
