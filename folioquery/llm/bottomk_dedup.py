@@ -15,7 +15,7 @@ of the documents are the components of the verified links.
 
 Defined results: a null text is an empty one; texts without words link with nothing; a null doc_id sorts first;
 rows that share a doc_id are one document and stay or go together; an empty table gives an empty table; other
-columns are carried along, whatever their names.
+columns are carried along (one named like an added column is replaced by it).
 """
 
 from __future__ import annotations
@@ -187,6 +187,7 @@ def classes(docs: DataFrame, k: int = K, percent: int = PERCENT, z: float = Z) -
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with n_shingles, component_id and kept."""
+    docs = common.plain(docs, "n_shingles", "component_id", "kept")
     found = classes(docs, percent=percent).dropDuplicates(["id", "h"]).toDF("__id", "__h", "n_shingles", "__component")
     held = docs.withColumns({"__key": common.id_key(), "__text_h": F.xxhash64("text")})
     out = held.join(found, (F.col("__key") == F.col("__id")) & (F.col("__text_h") == F.col("__h")), "left")

@@ -49,6 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain(docs: DataFrame, *own: str) -> DataFrame:
+    """docs without columns that an operator adds itself, and without reserved names (two underscores first)."""
+    names = {x.lower() for x in own}
+    return docs.drop(*[c for c in docs.columns if c.lower() in names or c.startswith("__")])
+
+
 def id_key(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
 

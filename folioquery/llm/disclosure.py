@@ -178,6 +178,7 @@ def bare(spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, min_docs: int = MIN_DOCS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with base spans replaced by their kind in brackets, disclosing words by [term], or by nothing."""
+    docs = common.plain(docs)
     found = find(docs, min_docs, generalise)
     none = F.array().cast("array<struct<start:int,end:int,by:string>>")
     marks = F.concat(

@@ -14,7 +14,8 @@ documents share is one key of a partial aggregate, and its positions are spread
 
 Defined results: a null text stays null and has no lines; a null doc_id sorts first; rows with the same doc_id
 and text are one document and get the same result; runs shorter than `min_chars`, counting the line ends
-between them, stay; an empty table gives an empty table; other columns are carried along, whatever their names.
+between them, stay; an empty table gives an empty table; other columns are carried along
+(one named like an added column is replaced by it).
 """
 
 from __future__ import annotations
@@ -89,6 +90,7 @@ def kept_lines(lines: Column, gone: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int = LEVELS) -> DataFrame:
     """docs with later copies of repeated runs deleted from text; n_lines and n_removed_lines are added."""
+    docs = common.plain(docs, "n_lines", "n_removed_lines")
     runs = repeated_runs(docs, min_chars, levels).toDF("__id", "__h", "__gone")
     held = docs.withColumns({"__key": common.id_key(), "__text_h": F.xxhash64("text")})
     out = held.join(runs, (F.col("__key") == F.col("__id")) & (F.col("__text_h") == F.col("__h")), "left").withColumn("__lines", F.split("text", "\n", -1))

@@ -5,7 +5,8 @@ Each row draws a uniform number from a hash of the seed and its id, inverts the
 mean there, and is exploded by the count; a second hash orders the copies globally.
 
 Defined results: a null source is a source of its own; rows with equal doc_id (or with none) draw the same
-number; an empty table gives an empty mix; other columns are carried along, whatever their names.
+number; an empty table gives an empty mix; other columns are carried along (one named like an added column is
+replaced by it).
 """
 
 from __future__ import annotations
@@ -56,6 +57,7 @@ def source_rates(docs: DataFrame, total: float | None, temperature: float, weigh
 
 def mix(docs: DataFrame, seed: str = "mix-1", total: float | None = None, temperature: float = 0.5, weights: dict[str, float] | None = None) -> DataFrame:
     """docs repeated as drawn, in global shuffled order, with copy_no (from 0) and shuffle_key added."""
+    docs = common.plain(docs, "copy_no", "shuffle_key")
     rates = source_rates(docs, total, temperature, weights)
     sources, top = rates.agg(F.count("*"), F.max("rate")).first()
     if (top or 0.0) > MAX_RATE:

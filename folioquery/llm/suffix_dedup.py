@@ -20,7 +20,7 @@ Identifiers are 64-bit hashes (an anchor's run is compared by 48 + 54 bits), so
 
 Defined results: a null text is an empty one; texts shorter than `length` keep all; a null doc_id sorts first;
 rows that share a doc_id are judged against smaller ids only; an empty table gives an empty table; in `dedup`
-other columns are carried along, whatever their names, and a cut that splits a character drops its other bytes.
+other columns are carried along (one named like an added column is replaced by it), and a cut that splits a character drops its other bytes.
 """
 
 from __future__ import annotations
@@ -344,6 +344,7 @@ def release(spark) -> None:
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated strings removed from text; n_bytes and n_removed_bytes are added."""
+    docs = common.plain(docs, "n_bytes", "n_removed_bytes")
     found = common.cut(repeats(docs, length, with_spans=True), "suffix-spans").dropDuplicates(["id", "h"])
     held = docs.withColumns({"__key": common.id_key(), "__text_h": F.xxhash64("text")})
     found = found.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "n_bytes", F.col("n_removed").alias("n_removed_bytes"), F.col("spans").alias("__spans"))

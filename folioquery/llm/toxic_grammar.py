@@ -14,8 +14,8 @@ smallest hash of its word pairs.
 
 Defined results: a null or empty text has no clause and gets the score of the intercept; a null doc_id is never
 held out and never labelled; repeated labels of a document count as toxic if one does; without labels of both
-kinds the default weights stand; an empty table gives an empty table; other columns are carried along, whatever
-their names.
+kinds the default weights stand; an empty table gives an empty table; other columns are carried along (one
+named like an added column is replaced by it).
 """
 
 from __future__ import annotations
@@ -255,8 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Scorer:
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
     """docs with toxicity (0 to 1) and toxic_predicted (0 or 1)."""
-    terms, weights = scorer.prefixes, scorer.weights
-    state = ([f"{p}*" for p in terms] + sorted(scorer.words), weights)
+    docs = common.plain(docs, "toxicity", "toxic_predicted")
+    state = ([f"{p}*" for p in scorer.prefixes] + sorted(scorer.words), scorer.weights)
     at = docs.columns.index("text")
 
     def run(batches):
