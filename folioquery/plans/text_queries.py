@@ -217,7 +217,7 @@ SQL = {
     "cross_refs": rf"""WITH {SQL_CHUNKS}, found AS (SELECT chunk_id, clause_path, regexp_extract_all(text, '\b([A-K](?:(?:\.\d+)+|\.)(?:\([A-Za-z0-9]+\))*)(?:[^A-Za-z0-9]|$)', 1) AS r FROM chunks),
       each AS (SELECT chunk_id, clause_path, generate_subscripts(r, 1) AS place, rtrim(unnest(r), '.') AS ref FROM found),
       firsts AS (SELECT chunk_id, ref, min(place) AS place FROM each WHERE ref <> clause_path GROUP BY ALL)
-      SELECT c.chunk_id, coalesce(string_agg(ref, '|' ORDER BY place), '') AS refs FROM chunks c LEFT JOIN firsts f ON f.chunk_id = c.chunk_id GROUP BY c.chunk_id""",
+      SELECT c.chunk_id, coalesce(string_agg(f.ref, '|' ORDER BY place), '') AS refs FROM chunks c LEFT JOIN firsts f ON f.chunk_id = c.chunk_id GROUP BY c.chunk_id""",
     "stable_ids": f"""WITH {SQL_CHUNKS} SELECT chunk_id, 'c_' || substr(sha256(sha256(text) || '|child|' || lower(clause_path) || '|provision|' || child_order), 1, 24) AS child_id,
       'p_' || substr(sha256(sha256(text) || '|parent|' || lower(clause_path) || '|provision|' || child_order), 1, 24) AS parent_id FROM chunks""",
     "embedding_texts": f"WITH {SQL_CHUNKS} SELECT chunk_id, md5(CASE WHEN doc_id % 3 > 0 THEN 'Legal location: ' || clause_path || chr(10) || 'Source text:' || chr(10) || text ELSE text END) AS text_md5 FROM chunks",
