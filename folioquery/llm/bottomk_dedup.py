@@ -172,14 +172,19 @@ def classes(docs: DataFrame, k: int = K, percent: int = PERCENT, z: float = Z) -
     sides = sides.select("root", "g2", "g3", "x.block", "x.side")
     spread = large.join(sides, ["root", "block"]).select("id", "h", F.col("root").alias("g1"), "g2", "g3", F.col("root").alias("cluster"), "side")
 
+    places = alone.unionByName(spread).groupBy("id", "h").agg(F.collect_list(F.struct("g1", "g2", "g3", "cluster", "side")).alias("places"))
+    places = common.cut(places, "bottomk-places")
+
     def full(batches):
         for batch in batches:
             sets = pa.array([shingle_set(t or "").tobytes() for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["id", "h", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["id", "places", "shingles"])
 
-    texts = docs.select(common.id_key().alias("id"), F.xxhash64("text").alias("h"), "text").join(members.select("id", "h"), ["id", "h"])
-    sets = common.cut(texts.mapInArrow(full, "id long, h long, shingles binary").dropDuplicates(["id", "h"]), "bottomk-sets")
-    links = verified(alone.unionByName(spread).join(sets, ["id", "h"]), k, percent, z)
+    texts = docs.select(common.id_key().alias("id"), F.xxhash64("text").alias("h"), "text")
+    texts = common.possible(texts, places, "id", "h").join(places, ["id", "h"]).select("id", "places", "text")
+    place = "array<struct<g1:bigint,g2:int,g3:int,cluster:bigint,side:int>>"
+    sets = texts.mapInArrow(full, f"id long, places {place}, shingles binary").select("id", "shingles", F.explode("places").alias("at"))
+    links = verified(sets.select("at.*", "id", "shingles"), k, percent, z)
     roots = connected(links).toDF("rep", "root")
     found = base.join(equal.withColumnRenamed("id", "rep").drop("h"), ["n", "sa", "sb"], "left").join(roots, "rep", "left")
     return found.select("id", "h", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component"))

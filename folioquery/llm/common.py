@@ -66,3 +66,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: Bits of the filter below: 1,024 rows of 4 KB, whatever the tables hold.
+FILTER_BITS = 2**25
+
+
+def possible(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """rows without most of those whose keys are not in `wanted`; none that is goes.
+
+    A bitmap of hashed keys of fixed size is broadcast, so that a join that follows shuffles few other rows. A
+    full bitmap lets all rows through.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    marks = wanted.select(F.bitmap_bucket_number(bit).alias("__bucket"), F.bitmap_bit_position(bit).alias("__at"))
+    marks = cut(marks.groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits")), "key-filter")
+    held = rows.withColumn("__bit", F.bitmap_bit_position(bit)).withColumn("__bucket", F.bitmap_bucket_number(bit))
+    held = held.join(F.broadcast(marks), "__bucket")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod("__bit", F.lit(8)))), F.lit(2)) == 1
+    return held.where(on).select(*rows.columns)
