@@ -39,7 +39,7 @@ from . import common
 from .common import mix64
 
 LENGTH, GRAM = 50, 24
-CHUNK_BYTES, BUCKET_BYTES = 2_000_000, 24_000_000
+CHUNK_BYTES, BUCKET_BYTES = 1_000_000, 8_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 LOW48 = np.uint64(2**48 - 1)
@@ -78,6 +78,7 @@ class Chunk:
         twice = paired(grams[: n - 2 * gram + 1], grams[gram : n - gram + 1])
         count = n - length + 1
         self.strings = paired(twice[:count], grams[length - gram : length - gram + count])
+        del eight, sixteen, twice
         # The first smallest q-gram of each string: windows of doubling size, then two that overlap.
         keys = mix64(grams)
         low, place, size, span = keys, np.arange(len(keys), dtype=np.int32), 1, length - gram + 1
