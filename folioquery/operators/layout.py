@@ -64,7 +64,7 @@ def page_blocks(page: dict[str, Any]) -> list[dict[str, Any]]:
     if page.get("blocks"):
         for b in page["blocks"]:
             rows, header = cleaned_rows(b.get("table_rows")), list(b.get("table_header") or [])
-            text = b.get("text") or b.get("raw_text") or table_markdown([header, *rows])
+            text = b.get("text") or b.get("raw_text") or table_markdown([header, *(b.get("table_rows") or [])])
             blocks.append({"block_type": b.get("block_type") or "prose", "raw_text": text, "bbox": b.get("bbox"), "table_header": header, "table_rows": rows})
     elif page.get("words") or page.get("tables"):
         boxes = []
