@@ -33,7 +33,7 @@ K, PERCENT, Z = 64, 75, 4.5
 BLOCK = 256
 SKETCH = "id long, h long, n long, sa long, sb long, sketch array<long>"
 #: Pairs whose union sketches are held at a time.
-PAIRS = 20_000
+PAIRS = 2_048
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -70,7 +70,7 @@ def union_estimates(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     twice = np.zeros(both.shape, bool)
     twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != none)
     fresh = ~twice & (both != none)
-    inside = np.cumsum(fresh, axis=1) <= k
+    inside = np.cumsum(fresh, axis=1, dtype=np.int16) <= k
     return (twice & inside).sum(1) / np.maximum(1, (fresh & inside).sum(1))
 
 

@@ -7,7 +7,7 @@ import functools
 from array import array
 
 #: Words whose ids a Python worker keeps; later words are encoded anew each time.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 
 
 class WordCache(dict):

@@ -128,7 +128,7 @@ class Scorer:
             known = LEXICON.get(word) or (QUOTE if word in '"“”«»' else OTHER)
             if known == OTHER and (word in self.words or any(word.startswith(p) for p in self.prefixes)):
                 known = INSULT
-            if len(self.symbols) < 500_000:
+            if len(self.symbols) < 100_000:
                 self.symbols[word] = known
         return known
 
