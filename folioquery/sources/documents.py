@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -67,6 +67,27 @@ def text_documents(found: DataFrame) -> DataFrame:
     return rows.select(F.substring(F.sha2(F.concat_ws("|", "filename", "source_sha256"), 256), 1, 32).alias("document_id"), "*")
 
 
+def pdf_pages(found: DataFrame, extract: Callable[[bytes], list[dict]]) -> DataFrame:
+    """filename, source_sha256 and PAGE of PDF files, read by `extract`: words and tables of each page.
+
+    No PDF library is a part of the engine; what lies beyond words and tables is done here.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, sha, content in zip(batch["filename"], batch["source_sha256"], batch["content"], strict=True):
+                try:
+                    pages = extract(bytes(content))
+                except Exception as error:
+                    raise DocumentParsingError(f"{name} cannot be read") from error
+                rows += [(name, sha, json.dumps({"pdf_page": n, **page})) for n, page in enumerate(pages, 1)]
+            yield pd.DataFrame(rows, columns=["filename", "source_sha256", "page"])
+
+    read = found.where("suffix = 'pdf'").select("filename", "source_sha256", "content").mapInPandas(run, "filename string, source_sha256 string, page string")
+    return read.select("filename", "source_sha256", F.from_json("page", PAGE).alias("p")).select("filename", "source_sha256", "p.*")
+
+
 def json_pages(spark: SparkSession, path: str, numbers: list[int] | None = None) -> DataFrame:
     """document_id, filename, source_sha256 and PAGE of files that hold an array of pages.
 
@@ -109,7 +130,7 @@ def blocks(pages: DataFrame) -> DataFrame:
                 rows += [{**kept, "table_header": None, "table_rows": None, **b} for b in layout.page_blocks(page)]
             yield pd.DataFrame(rows, columns=names)
 
-    out = pages.drop("page_sha").mapInPandas(run, found)
+    out = pages.drop("page_sha", "source_sha256").mapInPandas(run, found)
     return out.withColumns({"top": F.get("bbox", F.lit(1)), "bottom": F.get("bbox", F.lit(3))})
 
 
