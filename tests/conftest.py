@@ -1,3 +1,9 @@
+import os
+from pathlib import Path
+
+# Python workers import the package too, wherever the tests are started.
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parent.parent), os.environ.get("PYTHONPATH", "")])
+
 import pytest
 from pyspark.sql import SparkSession
 
