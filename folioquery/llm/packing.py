@@ -105,7 +105,8 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, ranks: str = "b
     plan = best_fit(counts, capacity)
     assert len(plan) <= MAX_RUNS, f"{len(plan)} runs"
     before = by_part.selectExpr("length AS l", "part AS p", "sum(n) OVER (PARTITION BY length ORDER BY part) - n AS base")
-    ranked = cutted.join(before, (F.col("length") == F.col("l")) & (F.col("part") == F.col("p"))).withColumn("rank", F.col("base") + F.col("place"))
+    # These counts grow with the partitions, so they are joined by merging and never broadcast.
+    ranked = cutted.join(before.hint("merge"), (F.col("length") == F.col("l")) & (F.col("part") == F.col("p"))).withColumn("rank", F.col("base") + F.col("place"))
     runs = spark.createDataFrame(plan, PLAN).withColumnRenamed("length", "run_length")
     placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("run_length")) & F.col("rank").between(F.col("first"), F.col("last")))
     nth = F.col("rank") - F.col("first")
