@@ -29,12 +29,15 @@ def workdir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    path = f"{workdir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{workdir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Remove what is at the path when the application ends."""
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -42,6 +45,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -96,7 +96,9 @@ def query(spark, sf_dir: str) -> DataFrame:
     first = common.cut(counted.groupBy("h", "n_bytes").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "rollup-copies")
     copies = counted.join(first, ["h", "n_bytes"]).where("doc_id > first")
     stay = counted.join(first, ["h", "n_bytes"], "left").where("first IS NULL OR doc_id <= first").where(foreign)
-    rollup = TokenRollup(spark, common.fresh_path(spark, "rollup"))
+    root = common.fresh_path(spark, "rollup")
+    rollup = TokenRollup(spark, root)
+    common.remove_at_end(spark, root)
     rollup.commit("1-load", changes(counted, "byte_bpe_50k", 1))
     rollup.commit("2-copies", changes(copies, "byte_bpe_50k", -1))
     rollup.commit("3-recount", changes(stay, "byte_bpe_50k", -1).unionByName(changes(stay, "byte_bpe_multi_50k", 1)))
