@@ -11,6 +11,8 @@ a doc_id count each; groups whose documents have all gone stay, with zeros; only
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +76,8 @@ class TokenRollup:
         if self._fs.exists(final):
             return False
         sums = rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
-        staged = common.fresh_path(self.spark, f"{self.root.rsplit('/', 1)[-1]}-staged")
+        # A hidden name: should two writers race for a batch, the loser's folder ends inside the winner's, unread.
+        staged = f"{self.root}/.staged-{batch}-{uuid.uuid4().hex}"
         sums.write.parquet(staged)
         return bool(self._fs.rename(self._path(staged), final))
 
