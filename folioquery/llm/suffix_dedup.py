@@ -16,7 +16,8 @@ The exchange is bulk-synchronous. Documents are packed into chunks; a chunk send
 often it occurs, and gets back only what was decided, so a string that every document holds is one entry for
 each chunk. Chunks are written to the shared folder once and read for each step; a lost executor repeats tasks.
 
-Identifiers are 64-bit hashes (an anchor's run is compared by 48 + 54 bits), so equality is up to hash collisions.
+Identifiers are 64-bit hashes (an anchor with its run is compared by about 100 bits), so equality is up to hash
+collisions.
 
 Defined results: a null text is an empty one; texts shorter than `length` keep all; a null doc_id sorts first;
 rows that share a doc_id are judged against smaller ids only; an empty table gives an empty table; in `dedup`
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from . import common
 from .common import mix64
 
 LENGTH, GRAM = 50, 24
-CHUNK_BYTES, BUCKET_BYTES = 250_000, 8_000_000
+CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 250_000, 8_000_000, 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 LOW48 = np.uint64(2**48 - 1)
@@ -191,7 +193,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             nonlocal number, held, size
             head = np.array([[x[0] for x in held], [x[1] for x in held], [len(x[2]) for x in held]], "<i8")
             raw = np.array([len(held)], "<i8").tobytes() + head.tobytes() + b"".join(x[2] for x in held)
-            row = pa.RecordBatch.from_pydict({"chunk": pa.array([(part << 32) + number], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "blob": pa.array([zstandard.compress(raw, 1)], pa.binary())})
+            row = pa.RecordBatch.from_pydict({"chunk": pa.array([(part << 32) + number], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "blob": pa.array([zstandard.compress(raw, 3)], pa.binary())})
             number, held, size = number + 1, [], 0
             return row
 
@@ -216,8 +218,9 @@ def sent(parts) -> pa.RecordBatch:
 
 def compared(group: pa.Table, by_run: bool) -> pa.Table:
     """What the chunks are told of a bucket: bits for entries that a smaller id has, and of buckets that split."""
-    sizes = [len(k) // 8 for k in group.column("keys").to_pylist()]
-    keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), "<u8")
+    width = 6 if by_run else 8
+    sizes = [len(k) // width for k in group.column("keys").to_pylist()]
+    keys = wide(b"".join(group.column("keys").to_pylist()), width)
     ids = np.concatenate([unpacked_ids(*x) for x in zip(*[group.column(c).to_pylist() for c in ("base", "width", "ids")], strict=True)])
     runs = wide(b"".join(group.column("runs").to_pylist()), 6) if by_run else np.zeros(len(keys), np.uint64)
     order = np.lexsort((ids, runs, keys))
@@ -273,13 +276,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_spans:
     spark = docs.sparkSession
     chunks = common.cut(chunked(docs), "suffix-chunks")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(12, -(-total // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
 
     def anchors(batches):
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys, runs, owner, _ = Chunk(blob.as_py(), length, gram).entries()
-                yield sent([(b, number, keys[x:y].tobytes(), thin(runs[x:y], 6), *packed_ids(owner[x:y])) for b, x, y in in_buckets(keys, buckets)])
+                # The bucket stands for the leading bits, so 48 bits of an anchor and 48 of its run are sent.
+                yield sent([(b, number, thin(keys[x:y], 6), thin(runs[x:y], 6), *packed_ids(owner[x:y])) for b, x, y in in_buckets(keys, buckets)])
 
     first = chunks.select("chunk", "blob").mapInArrow(anchors, SENT)
     told = common.cut(first.groupBy("bucket").applyInArrow(lambda g: compared(g, True), TOLD), "suffix-runs")
@@ -339,8 +343,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_spans:
 
 def release(spark) -> None:
     """Let Spark delete the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first pass frees what the second finds unused
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
