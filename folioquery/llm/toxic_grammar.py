@@ -39,6 +39,8 @@ THRESHOLD = 0.7
 MIN_TEXTS, MIN_SHARE = 4, 0.5
 PREFIXES = (4, 5, 6, 7)
 MAX_TERMS = 4_000
+#: Terms that a worker counts before it hands them on.
+HELD_TERMS = 100_000
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER, END = "itynrqo#"
 #: Common function words of the four languages.
@@ -227,14 +229,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Scorer:
 
     def count(batches):
         seen: dict[str, list[int]] = {}
+
+        def out():
+            return pa.RecordBatch.from_pydict({"term": list(seen), "hits": [c[0] for c in seen.values()], "others": [c[1] for c in seen.values()]})
+
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for term in terms_of(text):
                     seen.setdefault(term, [0, 0])[0 if toxic else 1] += 1
-        items = list(seen.items())
-        for i in range(0, len(items), 50_000):
-            part = items[i : i + 50_000]
-            yield pa.RecordBatch.from_pydict({"term": [t for t, _ in part], "hits": [c[0] for _, c in part], "others": [c[1] for _, c in part]})
+                if len(seen) > HELD_TERMS:  # partial counts: Spark adds them up
+                    yield out()
+                    seen = {}
+        if seen:
+            yield out()
 
     counted = sample.mapInArrow(count, "term string, hits long, others long").groupBy("term").agg(F.sum("hits").alias("hits"), F.sum("others").alias("others"))
     # Only terms that are mostly toxic come to the driver; the sample bounds them.
