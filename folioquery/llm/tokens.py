@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 from array import array
 
 #: Words whose ids a Python worker keeps; later words are encoded anew each time.
@@ -46,18 +47,23 @@ class Encoder:
         self.special_json = special_json
 
     @functools.cached_property
-    def special(self):
-        """The tokenizer file itself, and the strings that it reads as one special token."""
+    def special_strings(self) -> list[str]:
+        """What the tokenizer file reads as one special token."""
+        if not self.special_json:
+            return []
+        with open(self.special_json, encoding="utf-8") as file:
+            return [x["content"] for x in json.load(file).get("added_tokens", [])]
+
+    @functools.cached_property
+    def tokenizer(self):
+        """The tokenizer file itself; loaded only once a text holds a special string."""
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(self.special_json)
-        return tokenizer, [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+        return Tokenizer.from_file(self.special_json)
 
     def packed(self, text: str) -> bytes:
-        if self.special_json:
-            tokenizer, strings = self.special
-            if any(x in text for x in strings):
-                return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if any(x in text for x in self.special_strings):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if text and text.count(" ") + text.count("\n") == len(text.split()) - 1:
             first, *rest = text.replace("\n", " \n").split(" ")
             return array("I", self.whole(first)).tobytes() + b"".join(map(self.words.__getitem__, rest))
