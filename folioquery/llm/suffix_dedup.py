@@ -32,6 +32,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -248,6 +249,20 @@ def compared(group: pa.Table, by_run: bool) -> pa.Table:
     return pa.table({"chunk": pa.array(rows["chunk"], pa.int64()), "bucket": pa.array(rows["bucket"], pa.int32()), "copied": pa.array(rows["copied"], pa.binary()), "split": pa.array(rows["split"], pa.binary())})
 
 
+def exchanged(rows: DataFrame, buckets: int, by_run: bool) -> DataFrame:
+    """TOLD for all buckets. A partition holds a bucket or a few, read as they come: Spark neither sorts nor groups them."""
+
+    def run(batches):
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            for bucket in pc.unique(batch.column(0)).to_pylist():
+                held.setdefault(bucket, []).append(batch.filter(pc.equal(batch.column(0), bucket)))
+        for bucket in list(held):
+            yield from compared(pa.Table.from_batches(held.pop(bucket)), by_run).to_batches()
+
+    return rows.repartition(buckets, "bucket").mapInArrow(run, TOLD)
+
+
 def flags(told: pa.Table, keys: np.ndarray, buckets: int, column: str) -> np.ndarray:
     """One bit for each of a chunk's sorted entries."""
     out = np.zeros(len(keys), bool)
@@ -286,7 +301,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_spans:
                 yield sent([(b, number, thin(keys[x:y], 6), thin(runs[x:y], 6), *packed_ids(owner[x:y])) for b, x, y in in_buckets(keys, buckets)])
 
     first = chunks.select("chunk", "blob").mapInArrow(anchors, SENT)
-    told = common.cut(first.groupBy("bucket").applyInArrow(lambda g: compared(g, True), TOLD), "suffix-runs")
+    told = common.cut(exchanged(first, buckets, True), "suffix-runs")
     release(spark)
 
     def strings(held: pa.Table, told: pa.Table) -> pa.Table:
@@ -303,7 +318,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_spans:
 
     by_chunk = chunks.select("chunk", "blob").groupBy("chunk")
     second = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(strings, SENT)
-    single = common.cut(second.groupBy("bucket").applyInArrow(lambda g: compared(g, False), TOLD), "suffix-strings")
+    single = common.cut(exchanged(second, buckets, False), "suffix-strings")
     release(spark)
     both = told.withColumn("step", F.lit(1)).unionByName(single.withColumn("step", F.lit(2)))
 
