@@ -42,7 +42,7 @@ from . import common
 from .common import mix64
 
 LENGTH, GRAM = 50, 24
-CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 250_000, 8_000_000, 64
+CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 500_000, 2_000_000, 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 LOW48 = np.uint64(2**48 - 1)
