@@ -64,7 +64,8 @@ class Encoder:
     def packed(self, text: str) -> bytes:
         if any(x in text for x in self.special_strings):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if text and text.count(" ") + text.count("\n") == len(text.split()) - 1:
+        # Equal lists prove that every piece is a word: split() gives no empty piece and none with white space.
+        if text.replace("\n", " ").split(" ") == text.split():
             first, *rest = text.replace("\n", " \n").split(" ")
             return array("I", self.whole(first)).tobytes() + b"".join(map(self.words.__getitem__, rest))
         return array("I", self.whole(text)).tobytes()

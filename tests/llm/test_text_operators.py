@@ -32,6 +32,17 @@ def test_encoder_equals_the_tokenizer_file():
         assert np.frombuffer(encode.packed(text), "<u4").tolist() == ids
 
 
+def test_encoder_takes_only_single_separators_word_by_word():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = tokens.encoder("byte_bpe_50k.tiktoken", "byte_bpe_50k.json")
+    for text in ["foo\tbar ", "a b\tc", "a\n\n\nb\tc\td", " a\tb", "a  b\u00a0c", "a\n\nb\rc", "a  b\u3000c", "x\u2028y\n", "a b\x1cc  d", "a\x85b \n", "\t", "a b\nc"]:
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode.packed(text), "<u4").tolist() == ids, text
+
+
 def test_rollup_counts_signs_and_replays(spark, rows):
     counted = common.cut(token_rollup.count_tokens(frame(spark, rows)), "t")
     rollup = token_rollup.TokenRollup(spark, common.fresh_path(spark, "rollup"))
