@@ -4,6 +4,11 @@ A source of n rows that should make up the share w of a mix of T rows gets the m
 Each row draws a uniform number from a hash of the seed and its id, inverts the Poisson distribution of that
 mean there, and is exploded by the count; a second hash orders the copies globally.
 
+Up to a rate of MAX_RATE the distribution starts at exp(-rate), as in the SQL. Beyond, where that underflows, it starts
+12 standard deviations below the mean at 1 and is divided by its sum; what lies outside is far below the resolution
+of the uniform numbers. No rate that the weights give is refused; only a `total` that is asked for and would repeat the
+rows more than MAX_RATE times on average is.
+
 Defined results: a null source is a source of its own; rows with equal doc_id (or with none) draw the same
 number; an empty table gives an empty mix; other columns are carried along (one named like an added column is
 replaced by it).
@@ -16,10 +21,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: exp(-rate) must stay a normal double; larger rates are refused.
+#: exp(-rate) must stay a normal double; larger rates are summed from near the mean.
 MAX_RATE = 500.0
 #: A table of at most so many sources (a row each) is broadcast; beyond, it is joined by shuffling.
 BROADCAST_SOURCES = 50_000
+#: The same for the probabilities in it (8 bytes each).
+BROADCAST_STEPS = 2_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -28,16 +35,29 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def first_count(rate: Column) -> Column:
+    """The least count that `poisson_cdf` gives a probability."""
+    return F.when(rate > MAX_RATE, F.floor(rate - 12 * F.sqrt(rate) - 24)).otherwise(0).cast("int")
+
+
+def last_count(rate: Column) -> Column:
+    return F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
+
+
 def poisson_cdf(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... until the tail is below the resolution of `uniform`."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
+    """P(X <= k) for k from `first_count` until the tail is below the resolution of `uniform`."""
+    low = first_count(rate)
+    p0 = F.when(rate > MAX_RATE, 1.0).otherwise(F.exp(-rate))
+    start = F.struct(p0.alias("p"), F.array(p0).alias("cdf"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * rate / k
         return F.struct(p.alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + p)).alias("cdf"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])
+    def whole(cdf: Column) -> Column:
+        return F.when(rate > MAX_RATE, F.transform(cdf, lambda c: c / F.element_at(cdf, -1))).otherwise(cdf)
+
+    return F.aggregate(F.sequence(low + 1, last_count(rate)), start, step, lambda acc: whole(acc["cdf"]))
 
 
 def source_rates(docs: DataFrame, total: float | None, temperature: float, weights: dict[str, float] | None) -> DataFrame:
@@ -59,14 +79,15 @@ def mix(docs: DataFrame, seed: str = "mix-1", total: float | None = None, temper
     """docs repeated as drawn, in global shuffled order, with copy_no (from 0) and shuffle_key added."""
     docs = common.plain(docs, "copy_no", "shuffle_key")
     rates = source_rates(docs, total, temperature, weights)
-    sources, top = rates.agg(F.count("*"), F.max("rate")).first()
-    if (top or 0.0) > MAX_RATE:
-        raise ValueError(f"a mean repetition rate of {top:g} is above {MAX_RATE:g}")
-    table = rates.select(F.col("source").alias("__source"), poisson_cdf(F.col("rate")).alias("__cdf"))
-    table = F.broadcast(table) if sources <= BROADCAST_SOURCES else table
+    rate = F.col("rate")
+    sources, rows, steps = rates.agg(F.count("*"), F.sum("n"), F.sum(last_count(rate) - first_count(rate) + 1)).first()
+    if total is not None and total > MAX_RATE * (rows or 0):
+        raise ValueError(f"a total of {total:g} repeats {rows or 0} rows more than {MAX_RATE:g} times on average")
+    table = rates.select(F.col("source").alias("__source"), first_count(rate).alias("__low"), poisson_cdf(rate).alias("__cdf"))
+    table = F.broadcast(table) if sources <= BROADCAST_SOURCES and (steps or 0) <= BROADCAST_STEPS else table
     u = uniform(F.lit(seed), F.col("doc_id"))
     drawn = docs.join(table, docs["source"].eqNullSafe(F.col("__source"))).withColumn("__u", u)
-    drawn = drawn.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).where("__n > 0")
+    drawn = drawn.withColumn("__n", F.col("__low") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).where("__n > 0")
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     key = uniform(F.lit(f"{seed}/order"), F.col("doc_id"), F.col("copy_no"))
     return copies.withColumn("shuffle_key", key).select(*docs.columns, "copy_no", "shuffle_key").orderBy("shuffle_key", "doc_id", "copy_no")

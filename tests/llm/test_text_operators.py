@@ -117,6 +117,20 @@ def test_mix_follows_the_rates(spark):
         poisson_mix.mix(frame(spark, rows), total=1e9).count()
 
 
+@pytest.mark.parametrize("rate", [548.0, 3000.0])
+def test_mix_draws_rates_beyond_the_underflow(spark, rate):
+    import math
+
+    rows = [(i, "t", "rare" if i < 4 else "hot") for i in range(4000)]
+    share = 4 * rate / 4000.0
+    weights, total = ({"rare": share, "hot": 1 - share}, None) if share < 1 else ({"rare": 1.0}, 4 * rate)
+    out = Counter(r["doc_id"] for r in poisson_mix.mix(frame(spark, rows), total=total, weights=weights).collect() if r["source"] == "rare")
+    p = [math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(int(rate + 20 * rate**0.5))]
+    cdf = np.cumsum(p)
+    want = {i: int((cdf <= int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16) / 2.0**52).sum()) for i in range(4)}
+    assert out == want
+
+
 def test_packing_round_trip(spark, rows):
     encode = tokens.encoder("byte_bpe_50k.tiktoken", "byte_bpe_50k.json")
     docs = [*rows, (500, "long words " * 3000, "s"), (0, "same id", "s")]
