@@ -69,6 +69,19 @@ def test_near_duplicates_equal_brute_force(spark, block, monkeypatch):
     assert sphere_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_default_finds_pairs_across_borders(spark, monkeypatch):
+    monkeypatch.setattr(sphere_dedup, "CELL_ROWS", 40)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 2))  # on a circle, differences of pairs point along the line between neighbouring centroids
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(int(i), [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in sphere_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7)]
     got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
