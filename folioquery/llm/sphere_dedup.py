@@ -7,8 +7,9 @@ the chord of the threshold. The distance allowed is `reach` times that chord; 1,
 values miss pairs whose difference points along the line between two centroids. Pairs meet in the earlier home cell of
 the two, and only there, so links are counted once.
 
-A cell is split into blocks, and each pair of blocks is a task that multiplies two matrices. It returns how many
-links each point has and, for the links, a spanning forest: no group is expanded into pairs.
+A cell is split into blocks, its guests apart from those at home, and each pair of blocks (but of guests) is a task that
+multiplies two matrices, part by part. It returns how many links each point has and, for the links, a spanning
+forest: no group is expanded into pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing (they keep
 themselves); rows that share a vec_id are one vector if equal, and else link to what either links to; an empty
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,7 +31,8 @@ THRESHOLD = 0.95
 #: Share of the border that guests are taken from; less than the whole misses pairs.
 REACH = 1.0
 SAMPLE, CELL_ROWS, MAX_CELLS, ROUNDS = 20_000, 4_096, 4_096, 6
-BLOCK = 1_024
+#: Rows of a block, and of the parts of two blocks that are multiplied at once.
+BLOCK, TILE = 4_096, 1_024
 
 
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 1) -> np.ndarray:
@@ -109,32 +111,40 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray,
 
 def links(cells: DataFrame, threshold: float) -> DataFrame:
     """(id, n, root) from every pair of blocks: links of the point there, and a link to the smallest point."""
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    many = sizes.where("blocks > 1").collect()  # at most MAX_CELLS rows
-    split = {r["cell"]: r["blocks"] for r in many}
-    blocks = F.lit(1)
-    if split:
-        table = F.create_map(*[F.lit(x) for pair in split.items() for x in pair])
-        blocks = F.coalesce(F.element_at(table, F.col("cell")), F.lit(1))
-    mine = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = cells.withColumn("blocks", blocks).withColumn("mine", mine)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "guest", "id", "w", "v")
+    here, away = F.count_if(~F.col("guest")), F.count_if("guest")
+    sizes = cells.groupBy("cell").agg(F.ceil(here / BLOCK).cast("int").alias("h"), F.ceil(away / BLOCK).cast("int").alias("g")).collect()  # at most MAX_CELLS rows
+
+    def blocks(name: str) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["cell"], r[name])]), F.col("cell"))
+
+    # Guests are in blocks of their own, after those at home, and meet only these.
+    dealt = cells.withColumns({"h": blocks("h"), "g": blocks("g")}).where("h > 0")
+    mine = F.pmod(F.xxhash64("id", F.lit(3)), F.when(F.col("guest"), F.col("g")).otherwise(F.col("h"))).cast("int")
+    dealt = dealt.withColumn("mine", F.when(F.col("guest"), F.col("h")).otherwise(0) + mine)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("h") - 1 + F.when(F.col("guest"), 0).otherwise(F.col("g")))))
+    dealt = dealt.select("cell", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "id", "w", "v")
 
     def run(block: pa.Table) -> pa.Table:
         bi, bj = block.column("bi")[0].as_py(), block.column("bj")[0].as_py()
-        mine, guest = block.column("mine").to_numpy(), block.column("guest").to_numpy(zero_copy_only=False).astype(bool)
-        ids, w, v = block.column("id").to_numpy(), block.column("w").to_numpy(), matrix(block.column("v"), np.float64)
-        left, right = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
-        i, j = linked(v[left], v[right], threshold)
-        i, j = left[i], right[j]
-        keep = (i < j if bi == bj else i >= 0) & ~(guest[i] & guest[j]) & (ids[i] != ids[j])
-        i, j = i[keep], j[keep]
-        n = np.bincount(i, w[j], len(ids)) + np.bincount(j, w[i], len(ids))
+        mine, ids, w = block.column("mine").to_numpy(), block.column("id").to_numpy(), block.column("w").to_numpy()
+        v = matrix(block.column("v"), np.float64)
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        root = ids[order][forest(place[i], place[j], len(ids))][place]
+        left, right = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
+        n, ends = np.zeros(len(ids)), [np.zeros((2, 0), np.int64)]
+        for p in range(0, len(left), TILE):
+            for q in range(p if bi == bj else 0, len(right), TILE):
+                i, j = linked(v[left[p : p + TILE]], v[right[q : q + TILE]], threshold)
+                i, j = left[p + i], right[q + j]
+                keep = (i < j if bi == bj else i >= 0) & (ids[i] != ids[j])
+                i, j = i[keep], j[keep]
+                if len(i):
+                    n += np.bincount(i, w[j], len(ids)) + np.bincount(j, w[i], len(ids))
+                    tree = forest(place[i], place[j], len(ids))
+                    some = np.flatnonzero(tree != np.arange(len(ids)))
+                    ends.append(np.array([some, tree[some]]))
+        root = ids[order][forest(*np.concatenate(ends, axis=1), len(ids))][place]
         some = n > 0
         return pa.table({"id": pa.array(ids[some], pa.int64()), "n": pa.array(n[some].astype(np.int64), pa.int64()), "root": pa.array(root[some], pa.int64())})
 
