@@ -1,10 +1,14 @@
 """Personal data: fixed kinds by pattern, and words that reveal them by corpus co-occurrence.
 
 Base spans are e-mail addresses, network addresses, card and phone numbers. What one of them says (the entity)
-is protected. A word near mentions of an entity discloses it as far as seeing the word tells which entity is
-meant: with document counts over the whole corpus, the normalised pointwise mutual information of word and
-entity. Words that stand beside one entity in at least `min_docs` documents and reach `generalise` are given as
-spans of kind "term"; `sanitise` replaces them by a class, and deletes those that reach `remove`.
+is protected. A word (any run of letters outside base spans) discloses an entity as far as seeing the word tells which
+entity is meant: with document counts over the whole corpus, the normalised pointwise mutual information of word and
+entity, wherever the two stand in a document. Words that share at least `min_docs` documents with one entity and reach
+`generalise` are given as spans of kind "term" at every place in every document; `sanitise` replaces them by a class,
+and deletes those that reach `remove`.
+
+Counts are of hashed words and entities, added up in part before they are sent. Pairs are only made of words and
+entities whose own counts can still reach `min_docs` and `generalise`.
 
 Positions come from built-in functions alone: the pieces between the matches of a pattern and the matches
 themselves alternate, so a running sum of their lengths is where each match starts. The sum is taken in blocks,
@@ -38,9 +42,7 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 KINDS = list(PATTERNS)
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
-WORD = r"\p{L}{4,}"
-#: Characters to either side of a mention in which words count as near.
-WINDOW = 60
+WORD = r"\p{L}+"
 MIN_DOCS, GENERALISE, REMOVE = 3, 0.7, 0.9
 BLOCK = 128
 
@@ -50,13 +52,13 @@ def total(x: Column) -> Column:
 
 
 def with_starts(df: DataFrame, kind: str) -> DataFrame:
-    """Adds __{kind}: an array of (start, value) of all matches of the kind, in order."""
-    text, name = F.col("__text"), f"__{kind}"
-    seen = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
+    """Adds __{kind}: an array of (start, value) of all matches of the kind in __text, in order."""
+    text, name, pattern = F.col("__text"), f"__{kind}", PATTERNS.get(kind, WORD)
+    seen = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS.get(kind, WORD))
     none = F.array().cast("array<string>")
-    df = df.withColumn(f"{name}_m", F.when(seen, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none))
+    df = df.withColumn(f"{name}_m", F.when(seen, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     n = F.size(f"{name}_m")
-    df = df.withColumn(f"{name}_p", F.when(n > 0, F.transform(F.split(text, PATTERNS[kind], -1), lambda x: F.length(x))).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn(f"{name}_p", F.when(n > 0, F.transform(F.split(text, pattern, -1), lambda x: F.length(x))).otherwise(F.array().cast("array<int>")))
     # Lengths of each piece with the match after it, their sums by block, and the sums before each block.
     df = df.withColumn(f"{name}_l", F.zip_with(F.slice(f"{name}_p", 1, n), f"{name}_m", lambda p, m: p + F.length(m)))
     blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
@@ -95,77 +97,89 @@ def valid(kind: str, value: Column) -> Column:
     }[kind]
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of base spans."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def put(acc: Column, s: Column) -> Column:
+        begin = F.greatest(acc["at"], s["start"])
+        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), s["end"] - begin))
+        return F.when(s["end"] > acc["at"], F.struct(s["end"].alias("at"), new.alias("out"))).otherwise(acc)
+
+    cut = F.aggregate(spans, start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, cut).otherwise(text)
+
+
+def word_hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, id, h, and spans: (start, kind_no, end, kind, entity, near) by start, then kind.
+    """id, h, spans: (start, kind_no, end, kind, entity) by start, then kind; and words: the hashed words, each once.
 
-    near holds the words in the windows beside the mention, as (word, start).
+    A row for each document, however often the table repeats it.
     """
-    df = docs.select("doc_id", common.id_key().alias("id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("__text"))
+    df = docs.select(common.id_key().alias("id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("__text"))
     for kind in KINDS:
         df = with_starts(df, kind)
 
-    def near(start: Column, end: Column) -> Column:
-        """Words wholly inside the windows; those that the window's outer edge cuts are left out."""
-        left_at = F.greatest(start - WINDOW, F.lit(0))
-        left = F.substring(F.col("__text"), left_at + 1, start - left_at)
-        right = F.substring(F.col("__text"), end + 1, F.lit(WINDOW))
-        left = F.when(left_at > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-        right = F.when(F.length(right) == WINDOW, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-        return F.struct(left.alias("left"), right.alias("right"))
-
     def spans(kind: str) -> Column:
         def span(m: Column) -> Column:
             end = m["start"] + F.length(m["value"])
             entity = F.concat(F.lit(f"{kind}:"), F.lower(m["value"]) if kind in ("email", "ip") else digits(m["value"]))
-            return F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), entity.alias("entity"), near(m["start"], end).alias("near"))
+            return F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), entity.alias("entity"))
 
         return F.transform(F.filter(f"__{kind}", lambda m: valid(kind, m["value"])), span)
 
-    return df.select("doc_id", "id", "h", F.array_sort(F.concat(*[spans(k) for k in KINDS])).alias("spans"))
-
-
-def mentions(base: DataFrame) -> DataFrame:
-    """A row (id, h, entity, word, start, end) for each word beside a mention of an entity."""
-    rows = base.select("id", "h", F.explode("spans").alias("s")).select("id", "h", "s.entity", F.col("s.start").alias("from"), F.col("s.end").alias("to"), "s.near.left", "s.near.right")
-    sides = F.array(F.struct((F.col("from") - F.length("left")).alias("at"), F.col("left").alias("side")), F.struct(F.col("to").alias("at"), F.col("right").alias("side")))
-    # A side cut at its outer left edge lost its first letters, so it is placed by its inner end.
-    rows = rows.select("id", "h", "entity", F.explode(sides).alias("x")).select("id", "h", "entity", "x.at", "x.side")
-    rows = rows.select("id", "h", "entity", "at", F.split("side", WORD, -1).alias("gaps"), F.regexp_extract_all("side", F.lit(WORD), F.lit(0)).alias("words"))
-    parts = F.zip_with(F.slice("gaps", 1, F.size("words")), "words", lambda g, w: F.length(g) + F.length(w))
-    rows = rows.withColumn("parts", parts)
+    df = df.select("id", "h", "__text", F.array_sort(F.concat(*[spans(k) for k in KINDS])).alias("spans"))
+    df = df.withColumn("__text", masked(F.col("__text"), F.col("spans")))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)), word_hash))
+    return df.select("id", "h", "spans", words.alias("words")).dropDuplicates(["id", "h"])
+
+
+def disclosing(base: DataFrame, min_docs: int, generalise: float) -> DataFrame:
+    """A row (word_h, disclosure) for each word that discloses an entity, with the most that it discloses of any."""
+    entity = F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["entity"])))).alias("entity_h")
+    n_all = float(base.count() or 1)
+    entities = base.select(entity).groupBy("entity_h").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_docs)
+    entities = common.cut(entities, "pii-entities")
+    most = float(entities.agg(F.max("n_entity")).first()[0] or 1)
+    words = base.select(F.explode("words").alias("word_h")).groupBy("word_h").agg(F.count("*").alias("n_word")).where(F.col("n_word") >= min_docs)
+    # A word in more documents than any entity reaches at most ln(n_all / n_word) / ln(n_all / most).
+    reach = F.ln(n_all / F.col("n_word")) + 1e-9 >= F.lit(generalise) * F.ln(F.lit(n_all / most))
+    words = common.cut(words.where((F.col("n_word") <= most) | reach), "pii-words")
+    pairs = common.possible(base.where("size(spans) > 0").select("words", entity), entities, "entity_h")
+    pairs = common.possible(pairs.select("entity_h", F.explode("words").alias("word_h")), words, "word_h")
+    pairs = common.cut(pairs.groupBy("entity_h", "word_h").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= min_docs), "pii-pairs")
+    joined = pairs.join(words, "word_h").join(entities, "entity_h")
+    p_pair = F.col("n_pair") / n_all
+    pmi = F.log2(F.col("n_pair") * n_all / (F.col("n_word") * F.col("n_entity")))
+    share = F.when(p_pair >= 1, F.lit(0.0)).otherwise(pmi / -F.log2(p_pair))
+    return joined.groupBy("word_h").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
-    def placed(w: Column, i: Column) -> Column:
-        end = F.col("at") + total(F.slice("parts", F.lit(1), i + 1))
-        return F.struct(F.lower(w).alias("word"), (end - F.length(w)).alias("start"), end.alias("end"))
 
-    return rows.select("id", "h", "entity", F.explode(F.transform("words", placed)).alias("w")).select("id", "h", "entity", "w.word", "w.start", "w.end")
+def marked_terms(docs: DataFrame, base: DataFrame, told: DataFrame) -> DataFrame:
+    """A row (id, h, terms) for each document with disclosing words: all their places."""
+    hits = common.possible(base.select("id", "h", F.explode("words").alias("word_h")), told, "word_h").join(told, "word_h")
+    hits = common.cut(hits.groupBy("id", "h").agg(F.map_from_entries(F.collect_list(F.struct("word_h", "disclosure"))).alias("told")), "pii-hits")
+    texts = docs.where("text IS NOT NULL").select(common.id_key().alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("__text"))
+    texts = common.possible(texts, hits, "id", "h").dropDuplicates(["id", "h"]).join(hits, ["id", "h"]).join(base.select("id", "h", "spans"), ["id", "h"])
+    placed = with_starts(texts.withColumn("__text", masked(F.col("__text"), F.col("spans"))), "word")
 
+    def term(m: Column) -> Column:
+        disclosure = F.try_element_at(F.col("told"), word_hash(m["value"]))
+        return F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind_no"), (m["start"] + F.length(m["value"])).alias("end"), F.lit("term").alias("kind"), disclosure.alias("disclosure"))
 
-def disclosing(docs: DataFrame, near: DataFrame, base: DataFrame, min_docs: int, generalise: float) -> DataFrame:
-    """A row (entity, word, disclosure) for each word that discloses an entity."""
-    pairs = near.select("id", "h", "entity", "word").distinct().groupBy("entity", "word").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= min_docs)
-    pairs = common.cut(pairs.withColumn("word_h", F.xxhash64("word")), "pii-pairs")
-    entities = base.select("id", "h", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    hashes = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
-    words = docs.where("text IS NOT NULL").select(F.explode(hashes).alias("word_h")).groupBy("word_h").agg(F.count("*").alias("n_word"))
-    n_all = float(docs.count() or 1)
-    joined = pairs.join(words, "word_h").join(entities, "entity")
-    p_pair = F.col("n_pair") / n_all
-    pmi = F.log2(F.col("n_pair") * n_all / (F.col("n_word") * F.col("n_entity")))
-    # Counts of words are of the whole text, those of pairs of the windows, so the measure stays within 1.
-    share = F.when(p_pair >= 1, F.lit(0.0)).otherwise(pmi / -F.log2(p_pair))
-    return joined.select("entity", "word", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
+    return placed.select("id", "h", F.filter(F.transform("__word", term), lambda t: t["disclosure"].isNotNull()).alias("terms"))
 
 
 def find(docs: DataFrame, min_docs: int = MIN_DOCS, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, id, h, spans (base) and terms: (start, kind_no, end, kind, disclosure) of disclosing words."""
     base = common.cut(base_spans(docs), "pii-base")
-    near = common.cut(mentions(base), "pii-near")
-    told = common.cut(disclosing(docs, near, base, min_docs, generalise), "pii-disclosing")
-    term = F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "end", F.lit("term").alias("kind"), "disclosure")
-    terms = near.join(told, ["entity", "word"]).groupBy("id", "h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = terms.groupBy("id", "h").agg(F.array_sort(F.collect_list(term)).alias("terms")).toDF("__id", "__h", "terms")
-    return base.join(terms, (F.col("id") == F.col("__id")) & (F.col("h") == F.col("__h")), "left").drop("__id", "__h")
+    told = common.cut(disclosing(base, min_docs, generalise), "pii-disclosing")
+    terms = marked_terms(docs, base, told)
+    rows = docs.select("doc_id", common.id_key().alias("id"), F.xxhash64("text").alias("h"))
+    return rows.join(base.select("id", "h", "spans"), ["id", "h"]).join(terms, ["id", "h"], "left").select("doc_id", "id", "h", "spans", "terms")
 
 
 def written(spans: Column) -> Column:

@@ -224,6 +224,18 @@ def test_disclosing_words_and_sanitised_text(spark):
     assert "[email]" in clean[100] and "zebrafish" not in clean[100] and clean[200] == text[200] and clean[999] is None
 
 
+def test_disclosing_words_anywhere(spark):
+    far = "so it goes on and on " * 10
+    docs = [(i, f"contact boss@corp.example {far}\n\nask Zebrafish or Bo in the annex", "s") for i in range(5)]
+    docs += [(50, f"{far} only the zebrafish is named here", "s"), (51, "x zebrafishes", "s")] + [(200 + i, f"{far} nothing to ask or see in the annex only is named here, contact x", "s") for i in range(60)]
+    found = {r["doc_id"]: r["terms"] for r in disclosure.find(frame(spark, docs)).collect()}
+    text = {i: t for i, t, _ in docs}
+    shown = {i: {text[i][s["start"] : s["end"]] for s in found[i] or []} for i in found}
+    assert shown[0] == {"Zebrafish", "Bo"} and shown[50] == {"zebrafish"} and not shown[51] and not shown[200]
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(frame(spark, docs)).collect()}
+    assert clean[50] == text[50].replace("zebrafish", "") and "ebrafish" not in clean[0] and clean[51] == text[51]
+
+
 def brute_lines(rows, least=50):
     seen, gone = set(), defaultdict(set)
     for doc_id, text, _ in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
