@@ -20,6 +20,8 @@ one document and get the same spans; an empty table gives an empty table; other
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +53,8 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0), lambda a, v: a + v)
 
 
-def with_starts(df: DataFrame, kind: str) -> DataFrame:
-    """Adds __{kind}: an array of (start, value) of all matches of the kind in __text, in order."""
+def with_starts(df: DataFrame, kind: str, wanted: Callable[[Column], Column] = lambda _: F.lit(True)) -> DataFrame:
+    """Adds __{kind}: an array of (start, value) of all wanted matches of the kind in __text, in order."""
     text, name, pattern = F.col("__text"), f"__{kind}", PATTERNS.get(kind, WORD)
     seen = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS.get(kind, WORD))
     none = F.array().cast("array<string>")
@@ -67,10 +69,12 @@ def with_starts(df: DataFrame, kind: str) -> DataFrame:
 
     def at(value: Column, i: Column) -> Column:
         block = F.floor(i / BLOCK).cast("int")
-        before = F.get(F.col(f"{name}_s"), block) + total(F.slice(f"{name}_l", block * BLOCK + 1, i % BLOCK))
+        # Named twice, so that the sums are not moved in here and made anew for each match.
+        before = F.when(F.size(f"{name}_s") > block, F.get(F.col(f"{name}_s"), block)) + total(F.slice(f"{name}_l", block * BLOCK + 1, i % BLOCK))
         return F.struct((before + F.get(F.col(f"{name}_p"), i)).alias("start"), value.alias("value"))
 
-    df = df.withColumn(name, F.transform(f"{name}_m", at))
+    numbered = F.transform(f"{name}_m", lambda m, i: F.struct(m.alias("value"), i.alias("i")))
+    df = df.withColumn(name, F.transform(F.filter(numbered, lambda x: wanted(x["value"])), lambda x: at(x["value"], x["i"])))
     return df.drop(*[f"{name}_{x}" for x in "mplbs"])
 
 
@@ -164,13 +168,13 @@ def marked_terms(docs: DataFrame, base: DataFrame, told: DataFrame) -> DataFrame
     hits = common.cut(hits.groupBy("id", "h").agg(F.map_from_entries(F.collect_list(F.struct("word_h", "disclosure"))).alias("told")), "pii-hits")
     texts = docs.where("text IS NOT NULL").select(common.id_key().alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("__text"))
     texts = common.possible(texts, hits, "id", "h").dropDuplicates(["id", "h"]).join(hits, ["id", "h"]).join(base.select("id", "h", "spans"), ["id", "h"])
-    placed = with_starts(texts.withColumn("__text", masked(F.col("__text"), F.col("spans"))), "word")
+    placed = with_starts(texts.withColumn("__text", masked(F.col("__text"), F.col("spans"))), "word", lambda w: F.map_contains_key("told", word_hash(w)))
 
     def term(m: Column) -> Column:
-        disclosure = F.try_element_at(F.col("told"), word_hash(m["value"]))
+        disclosure = F.element_at(F.col("told"), word_hash(m["value"]))
         return F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind_no"), (m["start"] + F.length(m["value"])).alias("end"), F.lit("term").alias("kind"), disclosure.alias("disclosure"))
 
-    return placed.select("id", "h", F.filter(F.transform("__word", term), lambda t: t["disclosure"].isNotNull()).alias("terms"))
+    return placed.select("id", "h", F.transform("__word", term).alias("terms"))
 
 
 def find(docs: DataFrame, min_docs: int = MIN_DOCS, generalise: float = GENERALISE) -> DataFrame:
