@@ -237,30 +237,64 @@ def test_disclosing_words_anywhere(spark):
 
 
 def brute_lines(rows, least=50):
+    """By definition: every run of any number of lines, against all that begin before it."""
     seen, gone = set(), defaultdict(set)
     for doc_id, text, _ in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
         lines = text.split("\n")
         for p in range(len(lines)):
-            for n in (1, 2, 4, 8):
+            for n in range(1, len(lines) - p + 1):
                 run = "\n".join(lines[p : p + n])
-                if p + n <= len(lines) and len(run) >= least:
-                    if (n, run) in seen:
-                        gone[doc_id] |= set(range(p, p + n))
-                    seen.add((n, run))
-                    break
+                if len(run) >= least and run in seen:
+                    gone[doc_id] |= set(range(p, p + n))
+                seen.add(run)
     return {i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t, _ in rows}
 
 
-@pytest.mark.parametrize("seed", [1, 4])
+def planted_lines(seed):
+    """Runs of one to eighty lines, of any length of line, repeated between foreign lines."""
+    rng = __import__("random").Random(seed)
+    runs = [["tiny", "", "lines here", "of few chars", "each", "but many"], [f"w{i:02d} ab" for i in range(20)], ["a" * 20, "b" * 20, "c" * 22], ["x" * 60, "end"], [""] * 70]
+    runs += [["q" * rng.choice([0, 1, 3, 9, 24, 49, 50, 51, 70]) + str(i) for i in range(rng.randint(1, 80))] for _ in range(6)]
+    rows = []
+    for i in range(40):
+        lines = [f"foreign {rng.random()}" for _ in range(rng.randint(0, 3))]
+        for run in rng.sample(runs, rng.randint(1, 3)):
+            first = rng.randrange(len(run))
+            lines += run if rng.random() < 0.6 else run[first : first + rng.randint(1, 30)]
+            lines += [f"{rng.random()}" for _ in range(rng.randint(0, 2))]
+        rows.append((300 + i, "\n".join(lines), "s"))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 4, 7])
 def test_line_dedup_equals_brute_force(spark, seed):
-    short = "\n".join(["tiny", "", "lines here", "of few chars", "each", "but many"])
-    rows = [*corpus(seed), (300, short + "\nx", "s"), (301, "y\n" + short, "s"), (302, "y\n" + short + "\nz" * 9, "s")]
+    rows = [*corpus(seed), *planted_lines(seed), (1000, "tail\n" * 4000, "long"), (1001, None, "s")]
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
-    assert {k: r["text"] for k, r in out.items()} == brute_lines(rows)
-    assert out[0]["kept"] == "k"
+    want = brute_lines([r for r in rows if r[0] != 1000])
+    assert {k: r["text"] for k, r in out.items() if k != 1000} == want
+    assert out[0]["kept"] == "k" and len(out[1000]["text"].split("\n")) < 20
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_odd_rows(spark):
+    run = "\n".join(f"w{i:02d} ab" for i in range(20))
+    rows = [(None, f"x\n{run}", "s"), (1, f"{run}\ny", "s"), (1, f"{run}\ny", "s"), (2, f"u\n{run}\nv", "s"), (3, "", "s")]
+    out = Counter((r["doc_id"], r["text"], r["n_removed_lines"]) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    assert out == Counter({(None, f"x\n{run}", 0): 1, (1, "y", 20): 2, (2, "u\nv", 20): 1, (3, "", 0): 1})
+
+
+def test_line_sql_equals_brute_force(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [*corpus(3), *planted_lines(3)]
+    documents = pd.DataFrame({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    got = {i: h for i, _, _, h in con.sql(f"SELECT doc_id, n_lines, n_removed, kept_md5 FROM ({line_dedup.SQL})").fetchall()}
+    assert got == {i: hashlib.md5((t or "").encode()).hexdigest() for i, t in brute_lines(rows).items()}
+
+
 @pytest.mark.parametrize("seed", [1, 2, 6])
 def test_near_duplicates_equal_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(bottomk_dedup, "BLOCK", 8)
