@@ -108,7 +108,8 @@ class Chunk:
         self.first, self.last = at[heads], at[np.append(heads[1:], len(at)) - 1]
         self.anchor = place[self.first].astype(np.int64)
         self.doc = np.searchsorted(self.ends, self.first, side="right")
-        self.bucket = keys[self.anchor]
+        # The smallest of many q-grams is mostly small: mixed again, anchors spread evenly over the buckets.
+        self.bucket = mix64(keys[self.anchor] ^ _ODD)
         shape = ((self.last - self.first) * 256 + (self.anchor - self.first)).astype(np.uint64)
         self.run = paired(paired(self.strings[self.first], self.strings[self.last]), shape + np.uint64(1)) & LOW48
 
@@ -287,7 +288,12 @@ RESULT = "id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha2
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_spans: bool = False) -> DataFrame:
-    """RESULT for every row of docs; spans: packed pairs (first byte, byte after) of removed runs."""
+    """RESULT for every row of docs; spans: packed pairs (first byte, byte after) of removed runs.
+
+    The identifier of a string is made of three q-grams, so length is from twice to three times `gram`.
+    """
+    if not (16 <= gram <= 24 and 2 * gram <= length <= 3 * gram):
+        raise ValueError(f"strings of {length} bytes cannot be told by three q-grams of {gram} (16 to 24) bytes")
     spark = docs.sparkSession
     chunks = common.cut(chunked(docs), "suffix-chunks")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0

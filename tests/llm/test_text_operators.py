@@ -103,6 +103,24 @@ def test_repeated_strings_are_cut_out(spark, rows):
     assert suffix_dedup.repeats(frame(spark, [])).count() == 0
 
 
+def test_lengths_that_cannot_be_told_are_refused(spark):
+    for length in (40, 100):
+        with pytest.raises(ValueError):
+            suffix_dedup.repeats(frame(spark, []), length)
+
+
+def test_anchors_spread_over_buckets():
+    import random
+
+    held = [(1, 0, sentence(random.Random(5), 20_000).encode())]
+    head = np.array([[held[0][0]], [0], [len(held[0][2])]], "<i8")
+    import zstandard
+
+    chunk = suffix_dedup.Chunk(zstandard.compress(np.array([1], "<i8").tobytes() + head.tobytes() + held[0][2]), 50, 24)
+    share = np.bincount(suffix_dedup.bucket_of(chunk.entries()[0], 64), minlength=64) / len(chunk.entries()[0])
+    assert share.max() < 3 / 64
+
+
 def test_mix_follows_the_rates(spark):
     rows = [(i, "t", "hot" if i % 3 else "rare") for i in range(3000)] + [(None, None, None)]
     out = poisson_mix.mix(frame(spark, rows), weights={"hot": 1.0, "rare": 3.0}, total=2000.0).collect()
