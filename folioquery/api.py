@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioquery.config import DEFAULTS, Settings
 from folioquery.operators import search, store
-from folioquery.operators.embed import EmbeddingProvider, HashingProvider, embedded
+from folioquery.operators.embed import EmbeddingProvider, HashingProvider, embedded, worker_model
 from folioquery.plans import chat
 from folioquery.sources.documents import ModelError, valid_file_type
 from folioquery.streaming import ingest
@@ -24,19 +24,20 @@ class ServiceError(Exception):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, make: Callable[[], EmbeddingProvider] = HashingProvider, model: Callable[[str], str] = chat.extractive, settings: Settings = DEFAULTS):
-        self.spark, self.store, self.make, self.model, self.settings = spark, store.Store(spark, root), make, model, settings
+    def __init__(self, spark: SparkSession, root: str, make: Callable[[], EmbeddingProvider] = HashingProvider, model: Callable[[str], str] = chat.extractive, settings: Settings = DEFAULTS, extract: ingest.Extract | None = None):
+        """extract: reads the pages of PDF files; without it, uploads of PDF files are kept as failed."""
+        self.spark, self.store, self.make, self.model, self.settings, self.extract = spark, store.Store(spark, root), make, model, settings, extract
 
     def health(self) -> dict:
         return {"status": "ok", "generation": self.store.manifest()["generation"]}
 
     def upload(self, path: str) -> DataFrame:
-        """Take in the files at a path; the records of all documents after it."""
+        """Take in the files at a path; the records of all documents after it. A file that fails is kept with its error."""
         for name in [r[0] for r in self.spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1)).collect()]:
             if not valid_file_type(name):
                 raise ServiceError(400, f"{name}: only PDF and text files can be read")
         try:
-            ingest.ingest_files(self.spark, self.store, path, make=self.make, settings=self.settings)
+            ingest.ingest_files(self.spark, self.store, path, self.extract, make=self.make, settings=self.settings)
         except store.EmbeddingMismatch as error:
             raise ServiceError(400, str(error)) from error
         return self.documents()
@@ -78,7 +79,7 @@ class Engine:
         """answers, contexts, citations and evaluation; all documents are searched, and no history is sent."""
         chunks, parents = self._tables()
         make = self.make
-        embed = (lambda texts: make().embed(texts)) if self.settings.include_eval_data else None
+        embed = (lambda texts: worker_model(make).embed(texts)) if self.settings.include_eval_data else None
         try:
             return chat.chat(chunks, parents, self._queries(questions), self.model, embed, self.settings)
         except ModelError as error:

@@ -13,6 +13,7 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{fffd}]"
 INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{feff}]"
 BLANKS = r"[ \t\x{00a0}\x{2000}-\x{200a}\x{205f}\x{3000}]"
 EXOTIC = r"[\t\x{00a0}\x{2000}-\x{200a}\x{205f}\x{3000}]"
+WHITE = r"[\t\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CLAUSE = r"\b[A-K](?:(?:\.\d+)+|\.)(?:\([A-Za-z0-9]+\))*(?![A-Za-z0-9])"
 AMOUNT = r"(?i)\b(?:R|ZAR|USD|EUR|GBP)\s?\d+(?:[ ,]\d{3})*(?:\.\d+)?(?:\s*(?:million|billion|thousand))?\b"
 CODE = r"\b\d{3}\s+\d{2}\b"
@@ -30,6 +31,16 @@ def nfkc(text: Column) -> Column:
     return F.pandas_udf(_nfkc, "string")(text)
 
 
+def _nfkc_cells(tables: pd.Series) -> pd.Series:
+    return tables.map(lambda rows: None if rows is None else [None if r is None else [None if c is None else unicodedata.normalize("NFKC", c) for c in r] for r in rows])
+
+
+def clean_cells(rows: Column) -> Column:
+    """Every cell of rows of cells, cleaned."""
+    normal = F.when(rows.isNotNull(), F.pandas_udf(_nfkc_cells, "array<array<string>>")(rows))
+    return F.transform(normal, lambda row: F.transform(row, lambda c: clean_text(c, normalise=False)))
+
+
 def unify_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
@@ -43,15 +54,14 @@ def strip_invisible(text: Column) -> Column:
 
 
 def clean_lines(text: Column) -> Column:
-    """Indentation keeps its width in plain spaces; other runs of blanks become one space; line ends go."""
-
-    def line(raw: Column) -> Column:
-        body = F.regexp_replace(F.regexp_replace(raw, rf"^{BLANKS}+", ""), rf"{BLANKS}+", " ")
-        body = F.regexp_replace(body, r"(?U)\s+$", "")
-        indent = F.regexp_replace(F.regexp_extract(raw, rf"^{BLANKS}*", 0), EXOTIC, " ")
-        return F.when(body == "", "").otherwise(F.concat(indent, body))
-
-    return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
+    """Indentation keeps its width in plain spaces; other runs of blanks become one space; line ends go.
+
+    Over the whole text: first white space before a line's end, then runs that follow other text on their line, so
+    that what is left to be made plain is indentation. Each pattern starts at the start of a run only.
+    """
+    out = F.regexp_replace(text, rf"(?<!{WHITE}){WHITE}++(?=\n|\z)", "")
+    out = F.regexp_replace(out, rf"(?<=[^\n{BLANKS[1:-1]}]){BLANKS}++", " ")
+    return F.regexp_replace(out, EXOTIC, " ")
 
 
 def cap_blank_lines(text: Column) -> Column:

@@ -79,6 +79,17 @@ def provider(name: str, **options) -> EmbeddingProvider:
     return PROVIDERS[name.lower()](**options)
 
 
+_MODELS: dict[Callable, EmbeddingProvider] = {}
+
+
+def worker_model(make: Callable[[], EmbeddingProvider]) -> EmbeddingProvider:
+    """The model that `make` makes, made once in each Python worker."""
+    if make not in _MODELS:
+        _MODELS.clear()
+        _MODELS[make] = make()
+    return _MODELS[make]
+
+
 def embedded(text: Column, make: Callable[[], EmbeddingProvider], batch: int = 32, prefix: str = "") -> Column:
     """Vectors of texts; a vector of another dimension than the provider's is an error. prefix: for queries only."""
 

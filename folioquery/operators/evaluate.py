@@ -27,14 +27,15 @@ def question_type(question: Column, words: dict[str, list[str]] | None = None) -
 
 
 def with_overrides(questions: DataFrame, overrides: DataFrame) -> DataFrame:
-    """type replaced where an override names the index, or else is part of the question (the longest wins)."""
-    by_index = overrides.where("index IS NOT NULL").select("index", F.col("type").alias("index_type"))
-    out = questions.join(by_index, "index", "left")
-    parts = overrides.where("part IS NOT NULL").select("part", F.col("type").alias("part_type")).collect()
-    chosen = F.col("index_type")
-    for row in sorted(parts, key=lambda r: (-len(r["part"]), r["part"])):
-        chosen = F.coalesce(chosen, F.when(F.contains(F.lower("question"), F.lit(row["part"].lower())), row["part_type"]))
-    return out.withColumn("type", F.coalesce(chosen, "type")).drop("index_type")
+    """type replaced where an override names the index, or else is part of the question: the first in `position`.
+
+    overrides: position, index, part, type. They are an array beside each question, as one has a few at most.
+    """
+    by_index = overrides.where("index IS NOT NULL").groupBy("index").agg(F.min_by("type", "position").alias("index_type"))
+    parts = overrides.where("part IS NOT NULL").agg(F.array_sort(F.collect_list(F.struct("position", F.lower("part").alias("part"), "type"))).alias("parts"))
+    named = F.get(F.filter("parts", lambda p: F.contains(F.lower("question"), p["part"])), F.lit(0))["type"]
+    out = questions.join(by_index, "index", "left").crossJoin(F.broadcast(parts))  # one row
+    return out.withColumn("type", F.coalesce("index_type", named, "type")).drop("index_type", "parts")
 
 
 def items(contexts: DataFrame, answers: DataFrame) -> DataFrame:
@@ -44,11 +45,17 @@ def items(contexts: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.withColumn("cited", F.array_contains("markers", F.col("rank").cast("long"))).withColumn("answer_similarity", similar).drop("markers", "vector", "answer_vector")
 
 
+#: Responses are counted in ranges of so many numbers; only the counts are put in order by one task.
+RANGE = 4_096
+
+
 def flattened(responses: DataFrame) -> DataFrame:
-    """One row for each retrieved item of responses that have an evaluation; response is R1, R2, ... in order."""
-    kept = responses.where("evaluation IS NOT NULL")
-    number = F.row_number().over(Window.orderBy("response_no"))
-    named = kept.withColumn("response", F.concat(F.lit("R"), number))
+    """One row for each retrieved item of responses that have an evaluation; response is R1, R2, ... by response_no (a whole number)."""
+    kept = responses.where("evaluation IS NOT NULL").withColumn("__range", F.floor(F.col("response_no") / RANGE))
+    counts = kept.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).drop("__n")
+    within = F.row_number().over(Window.partitionBy("__range").orderBy("response_no"))
+    named = kept.join(before, "__range").withColumn("response", F.concat(F.lit("R"), F.col("__before") + within))
     return named.select("response", "response_no", "type", F.explode("evaluation").alias("item")).select("response", "response_no", "type", "item.*")
 
 

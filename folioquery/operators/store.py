@@ -1,8 +1,8 @@
 """The store: generations of Parquet tables behind one manifest that is switched by a rename.
 
-A change writes whole new tables for a generation, and then one manifest file whose name holds the generation's
-number. Readers take the highest manifest, so they see all of a change or none; a writer that fails leaves
-nothing that a reader looks at. Rows are keyed by (document_id, chunk_id), and replaced by file name.
+A change writes its rows, and the keys of the rows that go, for a generation, and then one manifest file whose name
+holds the generation's number. Readers take the highest manifest, so they see all of a change or none; a writer that
+fails leaves nothing that a reader looks at. Rows are keyed by (document_id, chunk_id), and replaced by file name.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = ("chunks", "parents", "documents")
+KEYS = ("filename", "document_id")
+GENERATION = "__generation"
 STATUSES = ("processing", "completed", "failed")
 DOCUMENTS = "document_id string, filename string, uploaded_at timestamp, status string, error string, chunk_count long, title string, source_sha256 string, version string, extraction_method string, parser_version string, schema_version int, needs_reingestion boolean"
 
@@ -90,6 +92,12 @@ def migrated(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 class Store:
+    """Folders {table}/generation=N that one commit added, and {table}-removed/generation=N with the keys it removed.
+
+    A key (a file name or a document id) hides the rows of all generations before its own, so a commit writes
+    what is new and never the rest of the store; `compact` rewrites a table without what is hidden.
+    """
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -101,16 +109,35 @@ class Store:
         return max((int(n.split(".")[0]) for n in names if n.endswith(".json") and not n.startswith((".", "_"))), default=0)
 
     def manifest(self) -> dict:
-        """tables: folder of each table; embedding: provider, model and dimension."""
+        """tables: generations that added to, and removed from, each table; embedding: provider, model and dimension."""
         number = self._number()
         if not number:
             return {"tables": {}, "embedding": None, "generation": 0}
         text = self.spark.read.text(f"{self.root}/manifests/{number:08d}.json", wholetext=True).first()[0]
         return json.loads(text)
 
+    def _folder(self, name: str, number: int) -> str:
+        return f"{self.root}/{name}/generation={number:08d}"
+
+    def _read(self, name: str, numbers: list[int]) -> DataFrame:
+        folders = [self._folder(name, n) for n in numbers]
+        return self.spark.read.option("basePath", f"{self.root}/{name}").option("mergeSchema", "true").parquet(*folders).withColumnRenamed("generation", GENERATION)
+
+    def _at(self, name: str, held: dict | None) -> DataFrame | None:
+        if not held or not held["added"]:
+            return None
+        rows = self._read(name, held["added"])
+        if held["removed"]:
+            keys = self._read(f"{name}-removed", held["removed"])
+            for key in KEYS:
+                until = keys.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(GENERATION).alias("__until"))
+                rows = rows.join(until, rows[key] == until["__key"], "left").where(F.col("__until").isNull() | (F.col("__until") <= F.col(GENERATION))).drop("__key", "__until")
+        rows = rows.drop(GENERATION)
+        return migrated(rows, dict(c.split(" ") for c in DOCUMENTS.split(", "))) if name == "documents" else rows
+
     def table(self, name: str) -> DataFrame | None:
-        folder = self.manifest()["tables"].get(name)
-        return self.spark.read.parquet(f"{self.root}/{folder}") if folder else None
+        """The rows that count now; columns that later versions added are null in earlier rows."""
+        return self._at(name, self.manifest()["tables"].get(name))
 
     def check_embedding(self, provider: str, model: str, dimension: int) -> None:
         have = self.manifest()["embedding"]
@@ -118,15 +145,31 @@ class Store:
         if have and have != mine:
             raise EmbeddingMismatch(f"the store holds {have}, not {mine}")
 
-    def commit(self, tables: dict[str, DataFrame], embedding: dict | None = None) -> int:
-        """Write the tables as a new generation and switch to it. False start: nothing changes for readers."""
+    def write(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Write rows for the next generation, unseen until `commit` names them; the rows as written."""
+        number = self.manifest()["generation"] + 1
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(self._folder(name, number))
+        return {name: self.spark.read.parquet(self._folder(name, number)) for name in tables}
+
+    def commit(self, added: list[str], removed: dict[str, DataFrame] | None = None, embedding: dict | None = None, instead: bool = False) -> int:
+        """Make the next generation the one that readers see: tables of `added` were written, keys of `removed` go.
+
+        removed: for a table, rows (filename) or (document_id). instead: the added rows are all of their tables.
+        """
         now = self.manifest()
         number = now["generation"] + 1
-        folders = dict(now["tables"])
-        for name, rows in tables.items():
-            folders[name] = f"generation={number:08d}/{name}"
-            rows.write.mode("overwrite").parquet(f"{self.root}/{folders[name]}")
-        text = json.dumps({"generation": number, "tables": folders, "embedding": embedding or now["embedding"]})
+        tables = {n: {"added": list(t["added"]), "removed": list(t["removed"])} for n, t in now["tables"].items()}
+        for name, keys in (removed or {}).items():
+            whole = [F.col(k).cast("string").alias(k) if k in keys.columns else F.lit(None).cast("string").alias(k) for k in KEYS]
+            keys.select(*whole).distinct().write.mode("overwrite").parquet(self._folder(f"{name}-removed", number))
+            tables.setdefault(name, {"added": [], "removed": []})["removed"].append(number)
+        for name in added:
+            held = tables.setdefault(name, {"added": [], "removed": []})
+            if instead:
+                held["added"], held["removed"] = [], []
+            held["added"].append(number)
+        text = json.dumps({"generation": number, "tables": tables, "embedding": embedding or now["embedding"]})
         draft, final = self._path(f"{self.root}/manifests/.{number:08d}.draft"), self._path(f"{self.root}/manifests/{number:08d}.json")
         out = self._fs.create(draft, True)
         out.write(bytearray(text, "utf-8"))
@@ -135,16 +178,25 @@ class Store:
             raise RuntimeError(f"generation {number} was committed by another writer")
         return number
 
+    def put_documents(self, rows: DataFrame, gone: DataFrame | None = None) -> int:
+        """Status rows take the place of those with their document_id; those of `gone` (document_id) go."""
+        written = self.write({"documents": rows})["documents"].select("document_id")
+        return self.commit(["documents"], {"documents": written if gone is None else written.unionByName(gone.select("document_id"))})
+
     def add(self, chunks: DataFrame, parents: DataFrame, embedding: dict | None = None) -> int:
-        """Replace the files of `chunks` (which hold their vectors already) and their parents; without rows, nothing."""
-        if chunks.isEmpty() and parents.isEmpty():
-            return 0
+        """Replace the files of `chunks` (which hold their vectors already) and their parents; without rows, nothing.
+
+        The plan of `chunks` runs once: what was written is counted.
+        """
         if embedding:
             self.check_embedding(**embedding)
-        held = {n: self.table(n) for n in ("chunks", "parents")}
-        news = {"chunks": chunks, "parents": parents}
-        self.commit({n: news[n] if held[n] is None else replaced_by_filename(held[n], news[n]) for n in news}, embedding)
-        return chunks.count()
+        written = self.write({"chunks": chunks, "parents": parents})
+        number = written["chunks"].count()
+        if not number and written["parents"].isEmpty():
+            return 0
+        names = written["chunks"].select("filename").unionByName(written["parents"].select("filename")).where("filename IS NOT NULL").distinct()
+        self.commit(list(written), {"chunks": names, "parents": names}, embedding)
+        return number
 
     def delete_document(self, document_id: str) -> int:
         """Rows of chunks that went."""
@@ -152,5 +204,12 @@ class Store:
         if chunks is None:
             return 0
         gone = chunks.where(F.col("document_id") == document_id).count()
-        self.commit({n: without_document(t, document_id) for n in TABLES if (t := self.table(n)) is not None})
+        key = self.spark.createDataFrame([(document_id,)], "document_id string")
+        self.commit([], {n: key for n in TABLES if n in self.manifest()["tables"]})
         return gone
+
+    def compact(self) -> int:
+        """Rewrite all tables without hidden rows, as one generation. Folders of earlier ones stay for their readers."""
+        held = {n: t for n in TABLES if (t := self.table(n)) is not None}
+        self.write(held)
+        return self.commit(list(held), instead=True)

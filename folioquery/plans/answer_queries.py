@@ -121,7 +121,7 @@ def asked_types(spark, d):
 
 
 def type_override(spark, d):
-    given = spark.createDataFrame([(3, None, "special"), (None, "hello", "greeting")], "index long, part string, type string")
+    given = spark.createDataFrame([(0, 3, None, "special"), (1, None, "Hello", "greeting"), (2, None, "e", "vowel"), (3, None, "compare ", "never")], "position int, index long, part string, type string")
     return evaluate.with_overrides(asked_types(spark, d), given).select("index", "type")
 
 
@@ -208,7 +208,7 @@ SQL = {
       SELECT conv_id, n + 2 AS turns, md5(t || chr(10) || 'user:q' || conv_id || chr(10) || 'assistant:a') AS history_md5 FROM h""",
     "last_user_question": "SELECT conv_id, coalesce(max_by(text, turn) FILTER (role = 'user'), '') AS question FROM conversations GROUP BY conv_id",
     "classify_query": f"SELECT conv_id, turn, {types_sql('text')} AS type FROM conversations",
-    "type_override": f"SELECT item_id AS index, CASE WHEN item_id = 3 THEN 'special' WHEN contains(lower({ASKED}), 'hello') THEN 'greeting' ELSE {types_sql(ASKED)} END AS type FROM benchmark",
+    "type_override": f"SELECT item_id AS index, CASE WHEN item_id = 3 THEN 'special' WHEN contains(lower({ASKED}), 'hello') THEN 'greeting' WHEN contains(lower({ASKED}), 'e') THEN 'vowel' ELSE {types_sql(ASKED)} END AS type FROM benchmark",
     "eval_flatten": f"WITH {SQL_RESPONSES} SELECT response, type, rank, relation, similarity, cited, answer_similarity FROM kept",
     "eval_response_summary": f"WITH {SQL_RESPONSES} SELECT * FROM summary",
     "eval_type_summary": f"""WITH {SQL_RESPONSES} SELECT type, count(*) AS responses, round_even(avg(mean_cited_similarity), 3) AS mean_cited_similarity, round_even(avg(mean_similarity), 3) AS mean_similarity, round_even(avg(mean_answer_similarity), 3) AS mean_answer_similarity FROM summary GROUP BY type""",

@@ -44,7 +44,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.coalesce("text", F.lit("")), planted(n)).alias("text"), "source", "lang",
     )
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return docs.join(vectors, "doc_id").withColumn("filename", F.concat("document_id", F.lit(".pdf")))
+    # Documents without a vector stay; only the vector scan passes them over.
+    return docs.join(vectors, "doc_id", "left").withColumn("filename", F.concat("document_id", F.lit(".pdf")))
 
 
 def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ docs AS (SELECT doc_id, 'c' || doc_id AS chunk_id, 'd' || (doc_id // 64) AS docu
   {sql_clause("doc_id + 5")} AS ref, lang, source,
   coalesce(text, '') || ' see ' || {sql_clause("doc_id + 5")} || ' for R' || (doc_id % 7 + 1) || ' million, code ' || (100 + doc_id % 50) || ' ' || (10 + doc_id % 5) AS text
   FROM documents),
-chunks AS (SELECT d.*, e.embedding::DOUBLE[] AS embedding, document_id || '.pdf' AS filename FROM docs d JOIN embeddings e ON e.vec_id = d.doc_id),
+chunks AS (SELECT d.*, e.embedding::DOUBLE[] AS embedding, document_id || '.pdf' AS filename FROM docs d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 questions AS (SELECT b.item_id AS query_id, e.embedding::DOUBLE[] AS query_vector, CASE b.item_id % 4
     WHEN 0 THEN 'What does ' || {sql_clause("b.item_id * 7")} || ' say?'
     WHEN 1 THEN 'List all limits of R' || (b.item_id % 7 + 1) || ' million'
@@ -95,7 +96,7 @@ SQL_RETRIEVAL = (
     SQL_CHUNKS
     + r"""
 , parents AS (SELECT parent_id, string_agg(text, chr(10) ORDER BY child_order) AS text FROM chunks GROUP BY parent_id),
-sims AS (SELECT query_id, chunk_id, round(coalesce(list_cosine_similarity(query_vector, embedding), 0), 12) AS similarity FROM questions, chunks),
+sims AS (SELECT query_id, chunk_id, round(coalesce(list_cosine_similarity(query_vector, embedding), 0), 12) AS similarity FROM questions, chunks WHERE embedding IS NOT NULL),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) - 1 AS vector_rank FROM sims QUALIFY vector_rank < 10),
 asked AS (SELECT *, list_distinct(list_transform(regexp_extract_all(query, '\b([A-K](?:(?:\.\d+)+|\.)(?:\([A-Za-z0-9]+\))*)(?:[^A-Za-z0-9]|$)', 1), lambda x: lower(rtrim(x, '.')))) AS q_clauses,
   list_transform(regexp_extract_all(query, '(?i)\b(?:R|ZAR|USD|EUR|GBP)\s?\d+(?:[ ,]\d{3})*(?:\.\d+)?(?:\s*(?:million|billion|thousand))?\b'), lambda x: lower(regexp_replace(x, '[\s,]', '', 'g'))) AS q_amounts,

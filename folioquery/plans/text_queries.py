@@ -118,7 +118,7 @@ def section_carry_forward(spark, d):
 
 
 def provenance_version(spark, d):
-    """The version with the latest date; two version lines are planted in each source's first document."""
+    """The version with the latest date; a version line is planted in every document."""
     n = F.col("doc_id")
     planted = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), (n % 9).cast("string"), F.lit("."), (n % 4).cast("string"), F.lit(" issued 20"), F.lpad((n % 30 + 1).cast("string"), 2, "0"), F.lit("-05-17\n"))
     return pages.provenance(table(spark, d, "documents").select("source", "doc_id", planted.alias("text")), "source", "doc_id").select("source", "version")
@@ -139,7 +139,7 @@ def words_outside_boxes(spark, d):
     """Words whose centre is in no table box of their page (page: label)."""
     at = [F.get("embedding", F.lit(i)).cast("double") for i in range(4)]
     words = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("pdf_page"), (at[0] * 100).alias("x0"), (at[0] * 100 + 5).alias("x1"), (at[1] * 100).alias("top"), (at[1] * 100 + 3).alias("bottom"))
-    boxes = table(spark, d, "embeddings").where("vec_id < 20").select(F.col("label").alias("pdf_page"), (at[2] * 100).alias("x0"), (at[2] * 100 + 20).alias("x1"), (at[3] * 100).alias("top"), (at[3] * 100 + 20).alias("bottom"))
+    boxes = table(spark, d, "embeddings").select(F.col("label").alias("pdf_page"), (at[2] * 100).alias("x0"), (at[2] * 100 + 2).alias("x1"), (at[3] * 100).alias("top"), (at[3] * 100 + 2).alias("bottom"))
     return pages.words_outside(words, boxes, "pdf_page").select("vec_id", "pdf_page")
 
 
@@ -159,7 +159,7 @@ def embedding_texts(spark, d):
 
 
 def content_types(spark, d):
-    return chunks(spark, d).select("chunk_id", pages.content_type(F.when(F.col("doc_id") % 5 == 0, F.col("defined_term")), F.col("section_id"), F.substring("text", 1, 40)).alias("content_type"), T.slug(F.col("clause_path")).alias("slug"))
+    return chunks(spark, d).select("chunk_id", pages.content_type(F.when(F.col("doc_id") % 5 == 0, F.col("defined_term")), F.col("section_id"), F.col("text")).alias("content_type"), T.slug(F.col("clause_path")).alias("slug"))
 
 
 def tag_neutralise(spark, d):
@@ -213,7 +213,7 @@ SQL = {
       FROM chunks c JOIN langs l ON l.parent_id = c.parent_id GROUP BY c.parent_id""",
     "bbox_union": "SELECT label, min(embedding[1])::DOUBLE AS x0, min(embedding[2])::DOUBLE AS top, max(embedding[3])::DOUBLE AS x1, max(embedding[4])::DOUBLE AS bottom FROM embeddings GROUP BY label",
     "words_outside_boxes": """WITH w AS (SELECT vec_id, label AS pdf_page, embedding[1]::DOUBLE * 100 AS x0, embedding[2]::DOUBLE * 100 AS top, embedding[3]::DOUBLE * 100 AS bx, embedding[4]::DOUBLE * 100 AS bt FROM embeddings)
-      SELECT vec_id, pdf_page FROM w WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.vec_id < 20 AND b.pdf_page = w.pdf_page AND (w.x0 + w.x0 + 5) / 2 BETWEEN b.bx AND b.bx + 20 AND (w.top + w.top + 3) / 2 BETWEEN b.bt AND b.bt + 20)""",
+      SELECT vec_id, pdf_page FROM w WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.pdf_page = w.pdf_page AND (w.x0 + w.x0 + 5) / 2 BETWEEN b.bx AND b.bx + 2 AND (w.top + w.top + 3) / 2 BETWEEN b.bt AND b.bt + 2)""",
     "cross_refs": rf"""WITH {SQL_CHUNKS}, found AS (SELECT chunk_id, clause_path, regexp_extract_all(text, '\b([A-K](?:(?:\.\d+)+|\.)(?:\([A-Za-z0-9]+\))*)(?:[^A-Za-z0-9]|$)', 1) AS r FROM chunks),
       each AS (SELECT chunk_id, clause_path, generate_subscripts(r, 1) AS place, rtrim(unnest(r), '.') AS ref FROM found),
       firsts AS (SELECT chunk_id, ref, min(place) AS place FROM each WHERE ref <> clause_path GROUP BY ALL)
@@ -221,8 +221,8 @@ SQL = {
     "stable_ids": f"""WITH {SQL_CHUNKS} SELECT chunk_id, 'c_' || substr(sha256(sha256(text) || '|child|' || lower(clause_path) || '|provision|' || child_order), 1, 24) AS child_id,
       'p_' || substr(sha256(sha256(text) || '|parent|' || lower(clause_path) || '|provision|' || child_order), 1, 24) AS parent_id FROM chunks""",
     "embedding_texts": f"WITH {SQL_CHUNKS} SELECT chunk_id, md5(CASE WHEN doc_id % 3 > 0 THEN 'Legal location: ' || clause_path || chr(10) || 'Source text:' || chr(10) || text ELSE text END) AS text_md5 FROM chunks",
-    "content_types": rf"""WITH {SQL_CHUNKS} SELECT chunk_id, CASE WHEN (doc_id % 5 = 0 AND defined_term IS NOT NULL) OR section_id = 'A.1' THEN 'definition' WHEN regexp_matches(substr(text, 1, 40), '(?i)^\s*(schedule|annexure|appendix)\b') THEN 'schedule'
-      WHEN regexp_matches(substr(text, 1, 40), '(?i)^\s*(form|specimen)\b') THEN 'form' ELSE 'provision' END AS content_type, trim(regexp_replace(lower(clause_path), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM chunks""",
+    "content_types": rf"""WITH {SQL_CHUNKS} SELECT chunk_id, CASE WHEN (doc_id % 5 = 0 AND defined_term IS NOT NULL) OR section_id = 'A.1' THEN 'definition' WHEN regexp_matches(text, '(?i)^\s*(schedule|annexure|appendix)\b') THEN 'schedule'
+      WHEN regexp_matches(text, '(?i)^\s*(form|specimen)\b') THEN 'form' ELSE 'provision' END AS content_type, trim(regexp_replace(lower(clause_path), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM chunks""",
     "tag_neutralise": rf"""WITH {SQL_CHUNKS} SELECT chunk_id, regexp_replace('</ Documents> <document id=1> <docu ' || text, '(?i)<(\s*/?\s*documents?\b)', '&lt;\1', 'g') AS text, filename || ' &lt;&amp;&quot;&gt;' AS attribute FROM chunks""",
 }
 QUERIES = {f.__name__: f for f in (clean_text_ascii, clean_text_full, unify_newlines, dehyphenate, strip_invisible, clean_lines, cap_blank_lines, nfkc_identity, line_explode, table_segments, legal_score, furniture_frequency, furniture_removal, section_carry_forward, provenance_version, provenance_rollup, bbox_union, words_outside_boxes, cross_refs, stable_ids, embedding_texts, content_types, tag_neutralise)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -53,43 +54,54 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).select("filename", "length", "modificationTime", "source_sha256")
 
 
-def text_documents(found: DataFrame) -> DataFrame:
-    """document_id, filename, source_sha256, text of text files; another suffix or bad UTF-8 is an error."""
+def parsed(found: DataFrame, extract: Callable[[bytes], list[dict]] | None = None) -> DataFrame:
+    """document_id, filename, source_sha256, extraction_method, error, pages (PAGE) of every file.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if other := set(batch["suffix"]) - {"txt"}:
-                raise ValueError(f"unsupported file type: {sorted(other)}")
-            batch["text"] = [decode_text(c) for c in batch["content"]]
-            yield batch[["filename", "source_sha256", "text"]]
-
-    rows = found.select("filename", "suffix", "source_sha256", "content").mapInPandas(run, "filename string, source_sha256 string, text string")
-    return rows.select(F.substring(F.sha2(F.concat_ws("|", "filename", "source_sha256"), 256), 1, 32).alias("document_id"), "*")
-
-
-def pdf_pages(found: DataFrame, extract: Callable[[bytes], list[dict]]) -> DataFrame:
-    """filename, source_sha256 and PAGE of PDF files, read by `extract`: words and tables of each page.
-
-    No PDF library is a part of the engine; what lies beyond words and tables is done here.
+    A text file is one page. PDF files are read by `extract`: words and tables of each page; no PDF library is a part
+    of the engine, and what lies beyond words and tables is done here. A JSON file holds an array of pages. A file that
+    cannot be read has an error and no pages; the others are not concerned.
     """
 
+    def pages_of(suffix: str, content: bytes) -> list[dict]:
+        if suffix == "txt":
+            return [{"text": decode_text(content)}]
+        if suffix == "json":
+            return json.loads(decode_text(content))
+        if suffix != "pdf":
+            raise DocumentParsingError(f"unsupported file type: {suffix}")
+        if extract is None:
+            raise DocumentParsingError("no reader of PDF files is plugged in")
+        return extract(content)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for name, sha, content in zip(batch["filename"], batch["source_sha256"], batch["content"], strict=True):
+            for name, sha, suffix, content in zip(batch["filename"], batch["source_sha256"], batch["suffix"], batch["content"], strict=True):
                 try:
-                    pages = extract(bytes(content))
-                except Exception as error:
-                    raise DocumentParsingError(f"{name} cannot be read") from error
-                rows += [(name, sha, json.dumps({"pdf_page": n, **page})) for n, page in enumerate(pages, 1)]
-            yield pd.DataFrame(rows, columns=["filename", "source_sha256", "page"])
+                    pages = [{"pdf_page": n, **page} for n, page in enumerate(pages_of(suffix, bytes(content)), 1)]
+                    rows.append((name, sha, "utf-8" if suffix == "txt" else "layout", None, json.dumps(pages)))
+                except Exception as error:  # kept with the document
+                    rows.append((name, sha, None, f"Document parsing failed: {error}"[:500], None))
+            yield pd.DataFrame(rows, columns=["filename", "source_sha256", "extraction_method", "error", "pages"])
+
+    rows = found.select("filename", "source_sha256", "suffix", "content").mapInPandas(run, "filename string, source_sha256 string, extraction_method string, error string, pages string")
+    document_id = F.substring(F.sha2(F.concat_ws("|", "filename", "source_sha256"), 256), 1, 32).alias("document_id")
+    return rows.select(document_id, "filename", "source_sha256", "extraction_method", "error", F.from_json("pages", f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in split_fields(PAGE))}>>").alias("pages"))
+
+
+def split_fields(schema: str) -> list[str]:
+    """The fields of a schema; commas inside brackets part nothing."""
+    return re.split(r", (?=\w+ )", schema)
+
 
-    read = found.where("suffix = 'pdf'").select("filename", "source_sha256", "content").mapInPandas(run, "filename string, source_sha256 string, page string")
-    return read.select("filename", "source_sha256", F.from_json("page", PAGE).alias("p")).select("filename", "source_sha256", "p.*")
+def pages_of_documents(read: DataFrame) -> DataFrame:
+    """document_id, filename, source_sha256, extraction_method and PAGE of all pages that were read."""
+    rows = read.where("error IS NULL").select("document_id", "filename", "source_sha256", "extraction_method", F.explode("pages").alias("p"))
+    return rows.select("document_id", "filename", "source_sha256", "extraction_method", "p.*")
 
 
 def json_pages(spark: SparkSession, path: str, numbers: list[int] | None = None) -> DataFrame:
-    """document_id, filename, source_sha256 and PAGE of files that hold an array of pages.
+    """filename, page_sha and PAGE of files that hold an array of pages.
 
     numbers: a subset of pages, counted from 1; a number that no page has is an error.
     """
@@ -109,7 +121,8 @@ def json_pages(spark: SparkSession, path: str, numbers: list[int] | None = None)
 
 def blocks(pages: DataFrame) -> DataFrame:
     """One row for each block in reading order, with height, top and bottom for the margin bands."""
-    found = "filename string, pdf_page int, printed_page string, page_revision string, section_marker string, content_type string, height double, block_order int, block_type string, raw_text string, bbox array<double>, table_id string, table_header array<string>, table_rows array<array<string>>"
+    carried = [c for c in ("document_id", "source_sha256", "extraction_method") if c in pages.columns]
+    found = "".join(f"{c} string, " for c in carried) + "filename string, pdf_page int, printed_page string, page_revision string, section_marker string, content_type string, height double, block_order int, block_type string, raw_text string, bbox array<double>, table_id string, table_header array<string>, table_rows array<array<string>>"
     names = [c.split(" ")[0] for c in found.split(", ")]
 
     def nested(x):
@@ -124,13 +137,13 @@ def blocks(pages: DataFrame) -> DataFrame:
             rows = []
             for page in batch.to_dict("records"):
                 page = {k: nested(v) for k, v in page.items()}
-                kept = {k: page.get(k) for k in ("filename", "pdf_page", "printed_page", "page_revision", "section_marker", "content_type")}
+                kept = {k: page.get(k) for k in (*carried, "filename", "pdf_page", "printed_page", "page_revision", "section_marker", "content_type")}
                 height = page.get("height")
                 kept["height"] = 842.0 if height is None or height != height else height
                 rows += [{**kept, "table_header": None, "table_rows": None, **b} for b in layout.page_blocks(page)]
             yield pd.DataFrame(rows, columns=names)
 
-    out = pages.drop("page_sha", "source_sha256").mapInPandas(run, found)
+    out = pages.drop("page_sha").mapInPandas(run, found)
     return out.withColumns({"top": F.get("bbox", F.lit(1)), "bottom": F.get("bbox", F.lit(3))})
 
 

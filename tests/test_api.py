@@ -34,8 +34,12 @@ def test_from_upload_to_answer(spark, tmp_path):
 def test_pdf_by_a_plugged_reader(spark, tmp_path):
     words = [{"text": "Hello", "x0": 36, "x1": 60, "top": 100, "bottom": 110}, {"text": "there", "x0": 64, "x1": 90, "top": 100, "bottom": 110}]
     (tmp_path / "a.pdf").write_text(json.dumps([{"words": words}]))
-    found = documents.files(spark, f"file://{tmp_path}/a.pdf")
-    rows = documents.blocks(documents.pdf_pages(found, lambda content: json.loads(content))).collect()
-    assert [(r["pdf_page"], r["raw_text"]) for r in rows] == [(1, "Hello there")]
-    with pytest.raises(Exception, match="cannot be read"):
-        documents.pdf_pages(found, lambda content: 1 / 0).collect()
+    (tmp_path / "b.pdf").write_text("no pages")
+    found = documents.files(spark, f"file://{tmp_path}/*.pdf")
+    read = documents.parsed(found, lambda content: json.loads(content))
+    rows = documents.blocks(documents.pages_of_documents(read)).collect()
+    assert [(r["pdf_page"], r["raw_text"], r["filename"]) for r in rows] == [(1, "Hello there", "a.pdf")]
+    assert [r["filename"] for r in read.where("error IS NOT NULL").collect()] == ["b.pdf"]
+    engine = Engine(spark, f"file://{tmp_path}/store", extract=lambda content: json.loads(content))
+    assert {r["filename"]: r["status"] for r in engine.upload(f"file://{tmp_path}/*.pdf").collect()} == {"a.pdf": "completed", "b.pdf": "failed"}
+    assert engine.search(["hello"]).first()["filename"] == "a.pdf"

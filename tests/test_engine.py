@@ -138,9 +138,57 @@ def test_files_stream_into_the_store(spark, tmp_path):
     chunks = target.table("chunks")
     assert chunks.where("filename = 'one.txt'").count() == 2 and chunks.where("size(embedding) <> 64").count() == 0
     (folder / "bad.txt").write_bytes(b"\xff\xfe\xfa")
-    with pytest.raises(Exception):
-        ingest.ingest_files(spark, target, f"file://{folder}/bad.txt")
-    assert documents.fingerprints(spark, f"file://{folder}").count() == 3
+    (folder / "good.txt").write_text("A good text beside a bad one.")
+    (folder / "blank.txt").write_text("  \n ")
+    (folder / "scan.pdf").write_bytes(b"%PDF")
+    ingest.ingest_files(spark, target, f"file://{folder}")
+    rows = {r["filename"]: r for r in target.table("documents").collect()}
+    assert {n: r["status"] for n, r in rows.items()} == {"one.txt": "completed", "two.txt": "completed", "good.txt": "completed", "bad.txt": "failed", "blank.txt": "failed", "scan.pdf": "failed"}
+    assert "UTF-8" in rows["bad.txt"]["error"] and rows["blank.txt"]["error"] == ingest.NO_CHUNKS and "no reader" in rows["scan.pdf"]["error"] and rows["good.txt"]["extraction_method"] == "utf-8"
+    assert target.table("chunks").where("filename = 'good.txt'").count() == 1
+    assert documents.fingerprints(spark, f"file://{folder}").count() == 6
+
+
+def test_a_failed_upload_leaves_what_was_there(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Before.")
+    target = store.Store(spark, f"file://{tmp_path}/store")
+    ingest.ingest_files(spark, target, f"file://{tmp_path}/a.txt")
+    (tmp_path / "a.txt").write_text("After.")
+
+    class Failing(embed.HashingProvider):
+        def embed(self, texts):
+            raise RuntimeError("embed failed")
+
+    with pytest.raises(Exception, match="embed failed"):
+        ingest.ingest_files(spark, target, f"file://{tmp_path}/a.txt", make=Failing)
+    assert sorted((r["status"], r["error"] is None) for r in target.table("documents").collect()) == [("completed", True), ("failed", False)]
+    assert target.table("chunks").first()["source_text"] == "Before."
+    ingest.ingest_files(spark, target, f"file://{tmp_path}/a.txt")
+    assert [r["status"] for r in target.table("documents").collect()] == ["completed"] and [r["source_text"] for r in target.table("chunks").collect()] == ["After."]
+    before = target.manifest()["generation"]
+    assert target.compact() == before + 1 and target.table("chunks").count() == 1 and target.table("documents").count() == 1
+
+
+def test_a_manual_is_read_page_by_page(spark, tmp_path):
+    def page(number, *body, table=()):
+        blocks = [{"block_type": "prose", "text": "B.4  Currency and Exchanges Manual for Authorised Dealers", "bbox": [40, 44, 300, 55]}, {"block_type": "prose", "text": f"{number} of 298 6/2026", "bbox": [40, 790, 300, 802]}]
+        blocks += [{"block_type": "prose", "text": t, "bbox": [40, 100 + 50 * i, 550, 140 + 50 * i]} for i, t in enumerate(body)]
+        return {"pdf_page": number, "width": 595, "height": 842, "blocks": blocks + [{"block_type": "table", "bbox": [40, 500, 550, 600], "table_header": ["Code", "Text"], "table_rows": [["1", "a  \u200b b"]]} for _ in table]}
+
+    manual = [
+        page(1, "Version number  Issue date\n1.10 issued 2026-05-17\n1.2 issued 2026-04-01"), page(2, "Table of contents\nB.4 Rules .......... 98"),
+        page(98, "B.4  Rules\n(A)  Part\n    (i) first rule that holds", "    (ii) second rule, see I.3(B)", table=[1]), page(99, "    (iii) third rule"),
+    ]
+    (tmp_path / "manual.pdf").write_text(json.dumps(manual))
+    target = store.Store(spark, f"file://{tmp_path}/store")
+    assert ingest.ingest_files(spark, target, f"file://{tmp_path}/manual.pdf", lambda content: json.loads(content)) >= 3
+    row = target.table("documents").first()
+    assert (row["status"], row["title"], row["version"], row["extraction_method"]) == ("completed", pages.TITLE, "1.10 (2026-05-17)", "layout")
+    chunks = target.table("chunks").collect()
+    third = next(r for r in chunks if r["clause_path"] == "B.4(A)(iii)")
+    assert (third["printed_page_start"], third["page_revisions"]) == ("99", ["6/2026"]) and not any("of 298" in r["source_text"] for r in chunks)
+    assert any(r["content_type"] == "table" and "a b" in r["source_text"] for r in chunks)
+    assert {r["record_type"] for r in target.table("parents").collect()} >= {"parent", "front_matter", "navigation"}
 
 
 def test_page_geometry_from_json(spark, tmp_path):
@@ -210,8 +258,9 @@ def test_settings_refuse(wrong):
 
 def test_overrides_and_types(spark):
     rows = spark.createDataFrame([(0, "Summarise this", "x"), (1, "what is it", "y")], "index int, question string, type string")
-    given = spark.createDataFrame([(None, "IS IT", "part")], "index int, part string, type string")
-    assert [r["type"] for r in evaluate.with_overrides(rows, given).orderBy("index").collect()] == ["x", "part"]
+    given = spark.createDataFrame([(0, None, "IS", "first"), (1, None, "IS IT", "longer"), (2, 0, None, "by index")], "position int, index int, part string, type string")
+    assert [r["type"] for r in evaluate.with_overrides(rows, given).orderBy("index").collect()] == ["by index", "first"]
+    assert [r["type"] for r in evaluate.with_overrides(rows, given.limit(0)).orderBy("index").collect()] == ["x", "y"]
 
 
 def test_duplicate_ids_are_reported(spark):
