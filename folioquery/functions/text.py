@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 # Character classes and patterns that results depend on.
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{fffd}]"
 INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{feff}]"
-BLANKS = r"[ \t\x{00a0}\x{2000}-\x{200a}\x{205f}\x{3000}]"
-EXOTIC = r"[\t\x{00a0}\x{2000}-\x{200a}\x{205f}\x{3000}]"
 WHITE = r"[\t\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CLAUSE = r"\b[A-K](?:(?:\.\d+)+|\.)(?:\([A-Za-z0-9]+\))*(?![A-Za-z0-9])"
 AMOUNT = r"(?i)\b(?:R|ZAR|USD|EUR|GBP)\s?\d+(?:[ ,]\d{3})*(?:\.\d+)?(?:\s*(?:million|billion|thousand))?\b"
@@ -41,27 +40,50 @@ def clean_cells(rows: Column) -> Column:
     return F.transform(normal, lambda row: F.transform(row, lambda c: clean_text(c, normalise=False)))
 
 
+def bound(text: Column, use: Callable[[Column], Column]) -> Column:
+    """use(text), with text computed once however often it is named: branches do not share what they compute."""
+    return F.get(F.transform(F.array(text), lambda t: use(t)), F.lit(0))
+
+
 def unify_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return bound(text, lambda t: F.when(F.contains(t, F.lit("\r")), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t))
 
 
 def dehyphenate(text: Column) -> Column:
-    return F.regexp_replace(text, r"([A-Za-z])-\n([a-z])", "$1$2")
+    return bound(text, lambda t: F.when(F.contains(t, F.lit("-\n")), F.regexp_replace(t, r"([A-Za-z])-\n([a-z])", "$1$2")).otherwise(t))
+
+
+def is_ascii(text: Column) -> Column:
+    """Texts of one byte a character take patterns with short classes."""
+    return F.octet_length(text) == F.length(text)
 
 
 def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, CONTROL, ""), INVISIBLE, "")
+    def visible(t: Column) -> Column:
+        whole = F.regexp_replace(t, f"[{CONTROL[1:-1]}{INVISIBLE[1:-1]}]+", "")
+        return F.when(is_ascii(t), F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+", "")).otherwise(whole)
+
+    return bound(text, visible)
 
 
 def clean_lines(text: Column) -> Column:
     """Indentation keeps its width in plain spaces; other runs of blanks become one space; line ends go.
 
-    Over the whole text: first white space before a line's end, then runs that follow other text on their line, so
-    that what is left to be made plain is indentation. Each pattern starts at the start of a run only.
+    Over the whole text: other blanks become tabs, white space before a line's end goes, then runs that follow other
+    text on their line become one space, so that what is left of tabs is indentation. Patterns look back only from
+    a character that can begin a match, so that they never try a run from its middle.
     """
-    out = F.regexp_replace(text, rf"(?<!{WHITE}){WHITE}++(?=\n|\z)", "")
-    out = F.regexp_replace(out, rf"(?<=[^\n{BLANKS[1:-1]}]){BLANKS}++", " ")
-    return F.regexp_replace(out, EXOTIC, " ")
+
+    def without_ends(x: Column, white: str) -> Column:
+        return F.regexp_replace(x, rf"{white}(?<!{white}{white}){white}*+(?=\n|\z)", "")
+
+    def ended(t: Column) -> Column:
+        plain = F.regexp_replace(t, r"[\x{00a0}\x{2000}-\x{200a}\x{205f}\x{3000}]", "\t")
+        return F.when(is_ascii(t), without_ends(t, r"[ \t\x0b\x0c\r]")).otherwise(without_ends(plain, WHITE))
+
+    out = bound(text, ended)
+    out = F.regexp_replace(out, r" (?<=[^\n \t] )[ \t]++|\t(?<=[^\n \t]\t)[ \t]*+", " ")
+    return F.replace(out, F.lit("\t"), F.lit(" "))
 
 
 def cap_blank_lines(text: Column) -> Column:
@@ -74,9 +96,11 @@ def trim_newlines(text: Column) -> Column:
 
 def clean_text(text: Column, normalise: bool = True) -> Column:
     """The whole cleaning pipeline. normalise: apply NFKC first (False keeps the plan free of Python)."""
-    out = nfkc(text) if normalise else text
-    out = trim_newlines(cap_blank_lines(clean_lines(strip_invisible(dehyphenate(unify_newlines(out))))))
-    return F.when(text.isNull() | ~text.rlike(r"(?U)\S"), "").otherwise(out)
+    def cleaned(t: Column) -> Column:
+        out = trim_newlines(cap_blank_lines(clean_lines(strip_invisible(dehyphenate(unify_newlines(t))))))
+        return F.when(t.isNull() | ~t.rlike(r"(?U)\S"), "").otherwise(out)
+
+    return bound(nfkc(text) if normalise else text, cleaned)
 
 
 def collapse(text: Column) -> Column:

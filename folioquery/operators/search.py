@@ -11,71 +11,120 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioquery.config import DEFAULTS, Settings
 from folioquery.functions import text as T
 
-#: Queries are sent to every task in blocks of so many; more queries read the chunks again for each block.
-QUERY_BLOCK = 8_192
+#: Up to so many queries are sent to every task; more are dealt in blocks of so many, each with parts of the chunks.
+QUERY_BLOCK, ROW_PART = 4_096, 65_536
+#: Products are made of so many chunks and queries at a time.
+TILE = 1_024
+#: Rows that a batch of queries leads to (hits, candidates, results) are kept on the driver up to so many.
+SETTLED_ROWS = 20_000
 LINKS = ["continues_from", "continues_to"]
 
 
+def settled(rows: DataFrame, limit: int = SETTLED_ROWS) -> DataFrame:
+    """The same rows, computed now and held as a local table if they are at most `limit`; else rows itself.
+
+    Later joins see the size of a local table and send it to the chunks, instead of shuffling these.
+    """
+    found = rows.limit(limit + 1).collect()
+    return rows.sparkSession.createDataFrame(found, rows.schema) if len(found) <= limit else rows
+
+
+class Best:
+    """The k nearest chunks of each query so far: high similarity first, ties to smaller ids."""
+
+    def __init__(self, vectors: np.ndarray, wanted: list[str | None], k: int):
+        self.vectors, self.wanted, self.k = vectors, wanted, k
+        self.norms = np.linalg.norm(vectors, axis=1)
+        self.held: list[list[tuple[float, str]]] = [[] for _ in wanted]
+        self.least = np.full(len(wanted), -np.inf)
+        self.filtered = any(d is not None for d in wanted)
+
+    def add(self, names: list[str], docs: list[str | None], x: np.ndarray) -> None:
+        for p in range(0, len(x), TILE):
+            norms = np.linalg.norm(x[p : p + TILE], axis=1)
+            for q in range(0, len(self.wanted), TILE):
+                size = self.norms[q : q + TILE, None] * norms[None, :]
+                # Twelve digits: ties must not depend on the order of summation.
+                sims = np.round(np.divide(self.vectors[q : q + TILE] @ x[p : p + TILE].T, size, out=np.zeros_like(size), where=size != 0), 12) + 0.0
+                if self.filtered:
+                    other = np.array([[d is not None and d != c for c in docs[p : p + TILE]] for d in self.wanted[q : q + TILE]])
+                    sims[other] = -np.inf
+                hit = (sims >= self.least[q : q + TILE, None]) & (sims > -np.inf)
+                for i in np.flatnonzero(hit.any(axis=1)).tolist():
+                    at = np.flatnonzero(hit[i])
+                    if len(at) > self.k:
+                        at = at[sims[i, at] >= np.partition(sims[i, at], len(at) - self.k)[len(at) - self.k]]
+                    best = sorted([*self.held[q + i], *((-float(sims[i, j]), names[p + j]) for j in at)])[: self.k]
+                    self.held[q + i] = best
+                    if len(best) == self.k:
+                        self.least[q + i] = -best[-1][0]
+
+
 def top_by_vector(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, similarity): the k nearest by cosine distance, ties to smaller chunk ids.
 
-    Each task keeps its own k best for each query, so what is shuffled does not grow with the chunks.
+    Each task keeps its own k best for each query, so what is shuffled of the results does not grow with the chunks.
     """
-    has_filter = "document_id" in queries.columns
-    rows = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v"), (F.col("document_id") if has_filter else F.lit(None).cast("string")).alias("d")).collect()
-    parts = [_nearest(chunks, rows[i : i + QUERY_BLOCK], k, queries.schema["query_id"].dataType.simpleString()) for i in range(0, len(rows), QUERY_BLOCK)] or [_nearest(chunks, [], k, queries.schema["query_id"].dataType.simpleString())]
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
+    spark, kind = chunks.sparkSession, queries.schema["query_id"].dataType.simpleString()
+    document = F.col("document_id").cast("string") if "document_id" in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v"), document.alias("d"))
+    source = chunks.where("embedding IS NOT NULL").select("chunk_id", F.col("document_id").cast("string").alias("document_id"), F.col("embedding").cast("array<double>").alias("x"))
+    found = f"query_id {kind}, chunk_id string, similarity double"
+    arrow_kind = to_arrow_type(queries.schema["query_id"].dataType)
+    first = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(first) <= QUERY_BLOCK:
+        only = {r["d"] for r in first}
+        if None not in only and len(only) <= 1_000:
+            source = source.where(F.col("document_id").isin(sorted(only)))
+
+        def scan(batches):
+            best = Best(stacked([r["v"] for r in first]), [r["d"] for r in first], k)
+            for batch in batches:
+                if batch.num_rows and first:
+                    best.add(batch.column(0).to_pylist(), batch.column(1).to_pylist(), stacked(batch.column(2)))
+            yield from hits_of([r["query_id"] for r in first], best, arrow_kind).to_batches()
+
+        hits = source.mapInArrow(scan, found)
+    else:
+        blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (source, ROW_PART)))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), each(parts).alias("part"), "query_id", F.lit(None).cast("string").alias("chunk_id"), "d", F.col("v").alias("x"))
+        right = source.select(each(blocks).alias("block"), F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).alias("part"), F.lit(None).cast(kind).alias("query_id"), "chunk_id", F.col("document_id").alias("d"), "x")
+
+        def compared(rows: pa.Table) -> pa.Table:
+            mine, theirs = rows.filter(rows["chunk_id"].is_null()), rows.filter(rows["chunk_id"].is_valid())
+            best = Best(stacked(mine["x"]), mine["d"].to_pylist(), k)
+            if len(mine) and len(theirs):
+                best.add(theirs["chunk_id"].to_pylist(), theirs["d"].to_pylist(), stacked(theirs["x"]))
+            return hits_of(mine["query_id"].to_pylist(), best, arrow_kind)
+
+        hits = left.withColumn("block", F.col("block").cast("long")).unionByName(right.withColumn("block", F.col("block").cast("long"))).groupBy("block", "part").applyInArrow(compared, found)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return hits.withColumn("vector_rank", F.row_number().over(order) - 1).where(F.col("vector_rank") < k)
 
 
-def _nearest(chunks: DataFrame, rows: list, k: int, id_type: str) -> DataFrame:
-    ids = [r["query_id"] for r in rows]
-    wanted = [r["d"] for r in rows]
-    q = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
-    q_norm = np.linalg.norm(q, axis=1)
-    only = {d for d in wanted if d is not None}
-
-    def run(batches):
-        best: list[list[tuple[float, str]]] = [[] for _ in ids]
-        for batch in batches:
-            keep = batch.column(2).is_valid()
-            batch = batch.filter(keep)
-            if not batch.num_rows or not ids:
-                continue
-            names, docs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
-            size = np.linalg.norm(x, axis=1)[:, None] * q_norm[None, :]
-            # Twelve digits: ties must not depend on the order of summation.
-            sims = np.round(np.divide(x @ q.T, size, out=np.zeros_like(size), where=size != 0), 12) + 0.0
-            for i in range(len(ids)):
-                rows_of = np.arange(len(names)) if wanted[i] is None else np.flatnonzero(docs == wanted[i])
-                if not len(rows_of):
-                    continue
-                s = sims[rows_of, i]
-                if len(s) > k:
-                    s_min = np.partition(s, len(s) - k)[len(s) - k]
-                    rows_of, s = rows_of[s >= s_min], s[s >= s_min]
-                best[i] = sorted([*best[i], *((-float(v), names[r]) for v, r in zip(s, rows_of, strict=True))])[:k]
-        flat = [(ids[i], name, -minus) for i, hits in enumerate(best) for minus, name in hits]
-        columns = list(zip(*flat, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(list(columns[0]), pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()), pa.array(list(columns[1]), pa.string()), pa.array(list(columns[2]), pa.float64())], names=["query_id", "chunk_id", "similarity"])
-
-    source = chunks.select("chunk_id", F.col("document_id").cast("string").alias("document_id"), "embedding")
-    if only and all(d is not None for d in wanted) and len(only) <= 1000:
-        source = source.where(F.col("document_id").isin(sorted(only)))
-    return source.mapInArrow(run, f"query_id {id_type}, chunk_id string, similarity double")
+def stacked(vectors) -> np.ndarray:
+    """A matrix of vectors of one length, given as lists or as a list column."""
+    if isinstance(vectors, list):
+        return np.array(vectors, np.float64).reshape(len(vectors), -1)
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def hits_of(ids: list, best: Best, kind: pa.DataType) -> pa.Table:
+    rows = [(ids[i], name, -minus) for i, held in enumerate(best.held) for minus, name in held]
+    return pa.table({"query_id": pa.array([r[0] for r in rows], kind), "chunk_id": pa.array([r[1] for r in rows], pa.string()), "similarity": pa.array([r[2] for r in rows], pa.float64())})
 
 
 def resolve_clauses(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """Chunks whose clause path equals a wanted key: (query_id, clause_key[, document_id]) joined on the key."""
-    keyed = chunks.where("clause_path IS NOT NULL").withColumn("clause_key", T.clause_key(F.col("clause_path"))).where("clause_key <> ''")
+    stored = F.col("clause_key") if "clause_key" in chunks.columns else T.clause_key(F.col("clause_path"))
+    keyed = chunks.where("clause_path IS NOT NULL").withColumn("clause_key", stored).where("clause_key <> ''")
     if "document_id" not in wanted.columns:
         return wanted.join(keyed, "clause_key")
     scope = wanted.withColumnRenamed("document_id", "wanted_document")
@@ -116,13 +165,15 @@ def boost(candidates: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def diversify(ranked: DataFrame, k: int, per_parent: int, per_section: int) -> DataFrame:
-    """The first k that stay within the caps, then the others in rank order; position counts from 1.
+    """The first k that stay within the caps, then the others in rank order; position counts from 1; text is left out.
 
     The candidates of a query are an array of at most the pool and the named clauses, folded in rank order.
     """
+    carried = [c for c in ranked.columns if c not in ("query_id", "text")]
     parent = F.coalesce(T.missing(F.col("parent_id")), F.col("chunk_id"))
-    item = F.struct(F.col("rank_in_query").alias("r"), F.col("chunk_id").alias("id"), parent.alias("p"), F.coalesce("section_id", F.lit("")).alias("s"))
-    folded = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    item = F.struct(F.col("rank_in_query").alias("r"), parent.alias("p"), F.coalesce("section_id", F.lit("")).alias("s"), F.struct(*carried).alias("row"))
+    items = F.array_sort(F.collect_list(item), lambda x, y: x["r"] - y["r"])
+    folded = ranked.groupBy("query_id").agg(items.alias("items"))
     start = F.struct(F.slice("items", 1, 0).alias("taken"), F.slice("items", 1, 0).alias("left"))
 
     def take(acc: Column, x: Column) -> Column:
@@ -132,13 +183,12 @@ def diversify(ranked: DataFrame, k: int, per_parent: int, per_section: int) -> D
         return F.when(fits, F.struct(F.concat(acc["taken"], F.array(x)).alias("taken"), acc["left"].alias("left"))).otherwise(F.struct(acc["taken"].alias("taken"), F.concat(acc["left"], F.array(x)).alias("left")))
 
     chosen = folded.select("query_id", F.aggregate("items", start, take, lambda acc: F.slice(F.concat(acc["taken"], acc["left"]), 1, k)).alias("chosen"))
-    placed = chosen.select("query_id", F.posexplode("chosen").alias("at", "x")).select("query_id", F.col("x.id").alias("chunk_id"), (F.col("at") + 1).alias("position"))
-    return ranked.join(placed, ["query_id", "chunk_id"])
+    return chosen.select("query_id", F.posexplode("chosen").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("position"), "x.row.*")
 
 
 def governing(rows: DataFrame, parents: DataFrame, chars: int = 600) -> DataFrame:
-    """Adds the first characters of the parent's text, or an empty string."""
-    excerpt = parents.select("parent_id", F.substring("text", 1, chars).alias("governing_context"))
+    """Adds the first characters of the parent's text, or an empty string. Other parents are left out first."""
+    excerpt = parents.join(rows.select("parent_id").distinct(), "parent_id", "left_semi").select("parent_id", F.substring("text", 1, chars).alias("governing_context"))
     return rows.join(excerpt, "parent_id", "left").withColumn("governing_context", F.coalesce("governing_context", F.lit("")))
 
 
@@ -182,14 +232,17 @@ def expand(primary: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFra
 def retrieve(chunks: DataFrame, parents: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS, top_k: int | None = None) -> DataFrame:
     """query_id, rank (from 1), chunk_id, relation, score, similarity, governing_context for each query."""
     k = top_k or settings.retrieval_top_k
-    hits = top_by_vector(chunks, queries, max(settings.retrieval_candidate_pool, k))
+    asked = settled(queries.drop("query_vector"))
+    hits = settled(top_by_vector(chunks, queries, max(settings.retrieval_candidate_pool, k)))
     light = chunks.drop("embedding")
-    candidates = merge_exact(hits, queries, light).join(light, "chunk_id")
-    ranked = boost(candidates, queries)
+    keys = light.drop("text")
+    candidates = settled(merge_exact(hits, asked, keys)).join(light, "chunk_id")
+    ranked = boost(candidates, asked)
     # At most k rows for each query, read by every phase below.
-    primary = governing(diversify(ranked, k, settings.retrieval_max_children_per_parent, settings.retrieval_max_children_per_section), parents).persist()
+    chosen = diversify(ranked, k, settings.retrieval_max_children_per_parent, settings.retrieval_max_children_per_section)
+    primary = settled(governing(settled(chosen), parents))
     order = Window.partitionBy("query_id").orderBy("phase", "position", "inner")
-    out = expand(primary, queries, light).withColumn("rank", F.row_number().over(order))
+    out = expand(primary, asked, keys).withColumn("rank", F.row_number().over(order))
     extra = primary.select("query_id", "chunk_id", "similarity", "governing_context")
     out = out.join(extra, ["query_id", "chunk_id"], "left")
     return out.select("query_id", "rank", "chunk_id", "relation", "score", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("governing_context", F.lit("")).alias("governing_context"))

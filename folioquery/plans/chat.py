@@ -27,8 +27,8 @@ def contexts_and_prompts(chunks: DataFrame, parents: DataFrame, queries: DataFra
     found = search.retrieve(chunks, parents, queries, settings)
     light = chunks.drop("embedding", "parent_text")
     full = light.withColumns({c: F.lit(None).cast(t) for c, t in PLACES.items() if c not in light.columns})
-    rows = found.join(full, "chunk_id").withColumn("block", answer.document_block())
-    length = queries.select("query_id", F.length("query").alias("asked"))
+    rows = search.settled(found).join(full, "chunk_id").withColumn("block", answer.document_block())
+    length = search.settled(queries.select("query_id", F.length("query").alias("asked")))
     fixed = F.col("asked") + F.lit(len(answer.SYSTEM_PROMPT) + len("<documents>\n\n</documents>\n\nQuestion: "))
     kept = answer.within_budget(rows.join(length, "query_id"), settings.context_tokens, fixed).drop("asked", "spent")
     return kept, answer.prompts(queries, kept.select("query_id", "rank", "block"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquery.config import DEFAULTS, Settings
+from folioquery.functions.text import clause_key
 from folioquery.operators import chunking, parsing, store
 from folioquery.operators.embed import EmbeddingProvider, HashingProvider, embedded
 from folioquery.sources import documents
@@ -41,7 +42,7 @@ def ingest_documents(target: store.Store, read: DataFrame, make: Callable[[], Em
         records = chunking.chunk_documents(parsing.chunking_blocks(kept, about), settings).persist()
         counts = chunking.children(records).groupBy("document_id").agg(F.count("*").alias("chunk_count"))
         searchable = records.join(counts.select("document_id"), "document_id", "left_semi")
-        chunks = chunking.children(searchable).withColumn("chunk_id", F.col("child_id"))
+        chunks = chunking.children(searchable).withColumns({"chunk_id": F.col("child_id"), "clause_key": clause_key(F.col("clause_path"))})
         chunks = chunks.withColumn("embedding", embedded(F.coalesce(F.nullif("embedding_text", F.lit("")), "source_text"), make, settings.embedding_batch_size))
         number = target.add(chunks, chunking.stored_parents(searchable), facts)
         news = read.select("document_id", "error", "extraction_method").join(counts, "document_id", "left").join(about, "document_id", "left")

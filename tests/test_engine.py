@@ -51,6 +51,19 @@ def test_links_and_references_follow_primaries(spark):
     assert retrieve(spark, plain, "which ones", retrieval_top_k=1, retrieval_candidate_pool=1)[1]["relation"] == "adjacent"
 
 
+def test_many_queries_are_dealt_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(90, 6)).round(1)
+    rows = spark.createDataFrame([(f"c{i:02d}", f"d{i % 3}", v.tolist() if i % 9 else None) for i, v in enumerate(x)], "chunk_id string, document_id string, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist(), f"d{i % 3}" if i % 2 else None) for i, v in enumerate(x[:40])], "query_id int, query_vector array<double>, document_id string")
+    whole = sorted(tuple(r) for r in search.top_by_vector(rows, asked, 4).collect())
+    for name, size in (("QUERY_BLOCK", 7), ("ROW_PART", 20), ("TILE", 5), ("SETTLED_ROWS", 3)):
+        monkeypatch.setattr(search, name, size)
+    assert sorted(tuple(r) for r in search.top_by_vector(rows, asked, 4).collect()) == whole and len(whole) == 160
+    assert search.settled(rows, 3) is rows and search.settled(rows, 90).collect() == rows.collect()
+
+
 def test_terms_codes_and_caps(spark):
     rows = [chunk("a", "code 511 01 here", (0.9, 0.4)), chunk("b", "none", (0.95, 0.3)), chunk("c", "none", (0.94, 0.3), term="Affected Person")]
     assert retrieve(spark, rows, "511  01")[0]["chunk_id"] == "a"
