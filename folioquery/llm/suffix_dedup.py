@@ -12,9 +12,11 @@ equal places, and neighbouring strings mostly share theirs, so a run of strings
 2. Only where an anchor's bucket splits, strings of its runs are sorted into buckets one by one, each run by
    the document with the smallest id that has it; others are copies and decided.
 
-The exchange is bulk-synchronous. Documents are packed into chunks; a chunk sends each identifier once, however
-often it occurs, and gets back only what was decided, so a string that every document holds is one entry for
-each chunk. Chunks are written to the shared folder once and read for each step; a lost executor repeats tasks.
+The exchange is bulk-synchronous. Documents are packed into chunks, and chunks into units; a unit sends each
+identifier once, however often it occurs, and gets back only what was decided, so a string that every document holds is
+one entry for each unit. Units and buckets both grow with the square root of the input, so that the rows between
+them, one for each pair, grow with the input only. Units are written to the shared folder once and read for each
+step; a lost executor repeats tasks.
 
 Identifiers are 64-bit hashes (an anchor with its run is compared by about 100 bits), so equality is up to hash
 collisions.
@@ -42,7 +44,8 @@ from . import common
 from .common import mix64
 
 LENGTH, GRAM = 50, 24
-CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 500_000, 2_000_000, 64
+#: A chunk is what numpy works on at a time. Up to BASE_BYTES of text a unit is one chunk and there are LEAST_BUCKETS.
+CHUNK_BYTES, BASE_BYTES, LEAST_BUCKETS = 500_000, 100_000_000, 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 LOW48 = np.uint64(2**48 - 1)
@@ -138,6 +141,25 @@ class Chunk:
         return at, np.repeat(self.ids[self.doc[runs]], size), self.strings[at]
 
 
+def united(chunks: list[Chunk]):
+    """Distinct (bucket, run) of a unit in order, the smallest id that has each, and the entry of every run of each chunk."""
+    parts = [c.entries() for c in chunks]
+    if len(parts) == 1:
+        b, r, owner, entry = parts[0]
+        return b, r, owner, [entry]
+    b, r, owners = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((r, b))
+    new = np.ones(len(order), bool)
+    new[1:] = (b[order][1:] != b[order][:-1]) | (r[order][1:] != r[order][:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    owner = np.full(int(new.sum()), np.iinfo(np.int64).max)
+    np.minimum.at(owner, place, owners)
+    ends = np.cumsum([len(p[0]) for p in parts])
+    entries = [place[end - len(p[0]) : end][p[3]] for p, end in zip(parts, ends.tolist(), strict=True)]
+    return b[order][new], r[order][new], owner, entries
+
+
 def grouped_strings(ids: np.ndarray, strings: np.ndarray):
     """Distinct strings in order, the smallest id of each, and the place of every one among them."""
     distinct, place = np.unique(strings, return_inverse=True)
@@ -182,21 +204,26 @@ def unpacked_ids(base: int, width: int, data: bytes) -> np.ndarray:
 
 SENT = "bucket int, chunk long, keys binary, runs binary, base long, width int, ids binary"
 TOLD = "chunk long, bucket int, copied binary, split binary"
-CHUNKS = "chunk long, n_bytes long, blob binary"
+CHUNKS = "chunk long, blobs array<binary>"
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """Documents packed into compressed chunks of about CHUNK_BYTES."""
+def chunked(docs: DataFrame, per_unit: int) -> DataFrame:
+    """Documents packed into units of `per_unit` compressed chunks of about CHUNK_BYTES."""
 
     def run(batches):
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, number, held, size, blobs = TaskContext.get().partitionId(), 0, [], 0, []
 
-        def out():
-            nonlocal number, held, size
+        def close():
+            nonlocal held, size
             head = np.array([[x[0] for x in held], [x[1] for x in held], [len(x[2]) for x in held]], "<i8")
             raw = np.array([len(held)], "<i8").tobytes() + head.tobytes() + b"".join(x[2] for x in held)
-            row = pa.RecordBatch.from_pydict({"chunk": pa.array([(part << 32) + number], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "blob": pa.array([zstandard.compress(raw, 3)], pa.binary())})
-            number, held, size = number + 1, [], 0
+            blobs.append(zstandard.compress(raw, 3))
+            held, size = [], 0
+
+        def out():
+            nonlocal number, blobs
+            row = pa.RecordBatch.from_pydict({"chunk": pa.array([(part << 32) + number], pa.int64()), "blobs": pa.array([blobs], pa.list_(pa.binary()))})
+            number, blobs = number + 1, []
             return row
 
         for batch in batches:
@@ -205,8 +232,12 @@ def chunked(docs: DataFrame) -> DataFrame:
                 held.append((doc_id, h, raw))
                 size += len(raw)
                 if size >= CHUNK_BYTES:
-                    yield out()
+                    close()
+                    if len(blobs) == per_unit:
+                        yield out()
         if held:
+            close()
+        if blobs:
             yield out()
 
     return docs.select(common.id_key().alias("id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, CHUNKS)
@@ -295,34 +326,43 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_spans:
     if not (16 <= gram <= 24 and 2 * gram <= length <= 3 * gram):
         raise ValueError(f"strings of {length} bytes cannot be told by three q-grams of {gram} (16 to 24) bytes")
     spark = docs.sparkSession
-    chunks = common.cut(chunked(docs), "suffix-chunks")
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    scale = max(1.0, (total / BASE_BYTES) ** 0.5)
+    chunks = common.cut(chunked(docs, round(scale)), "suffix-chunks")
+    buckets = round(LEAST_BUCKETS * scale)
+
+    def opened(blobs) -> list[Chunk]:
+        return [Chunk(blob, length, gram) for blob in blobs]
 
     def anchors(batches):
         for batch in batches:
-            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, runs, owner, _ = Chunk(blob.as_py(), length, gram).entries()
+            for number, blobs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys, runs, owner, _ = united(opened(blobs.as_py()))
                 # The bucket stands for the leading bits, so 48 bits of an anchor and 48 of its run are sent.
                 yield sent([(b, number, thin(keys[x:y], 6), thin(runs[x:y], 6), *packed_ids(owner[x:y])) for b, x, y in in_buckets(keys, buckets)])
 
-    first = chunks.select("chunk", "blob").mapInArrow(anchors, SENT)
+    first = chunks.mapInArrow(anchors, SENT)
     told = common.cut(exchanged(first, buckets, True), "suffix-runs")
     release(spark)
 
+    def waiting_of(unit: list[Chunk], entries: list[np.ndarray], split: np.ndarray, owner: np.ndarray):
+        """Strings of all chunks of a unit: places in their chunk, documents' ids, identifiers; places by chunk."""
+        parts = [c.waiting(split, owner, e) for c, e in zip(unit, entries, strict=True)]
+        return [p[0] for p in parts], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+
     def strings(held: pa.Table, told: pa.Table) -> pa.Table:
         parts = []
-        for number, blob in zip(held.column("chunk").to_pylist(), held.column("blob"), strict=True):
-            chunk = Chunk(blob.as_py(), length, gram)
-            keys, _, owner, entry = chunk.entries()
+        for number, blobs in zip(held.column("chunk").to_pylist(), held.column("blobs"), strict=True):
+            unit = opened(blobs.as_py())
+            keys, _, owner, entries = united(unit)
             split = flags(told, keys, buckets, "split")
             if split.any():
-                _, ids, found = chunk.waiting(split, owner, entry)
+                _, ids, found = waiting_of(unit, entries, split, owner)
                 distinct, smallest, _ = grouped_strings(ids, found)
                 parts += [(b, number, distinct[x:y].tobytes(), b"", *packed_ids(smallest[x:y])) for b, x, y in in_buckets(distinct, buckets)]
         return pa.Table.from_batches([sent(parts)])
 
-    by_chunk = chunks.select("chunk", "blob").groupBy("chunk")
+    by_chunk = chunks.groupBy("chunk")
     second = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(strings, SENT)
     single = common.cut(exchanged(second, buckets, False), "suffix-strings")
     release(spark)
@@ -332,33 +372,37 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_spans:
         out: dict[str, list] = {x.split()[0]: [] for x in RESULT.split(", ")}
         step = told.column("step").to_numpy()
         by_step = [told.filter(pa.array(step == s)) for s in (1, 2)]
-        for blob in held.column("blob"):
-            chunk = Chunk(blob.as_py(), length, gram)
-            keys, _, owner, entry = chunk.entries()
-            mine = chunk.ids[chunk.doc]
-            whole = flags(by_step[0], keys, buckets, "copied")[entry] | (mine > owner[entry])
-            covered = np.zeros(len(chunk.text) + 1, np.int32)
-            np.add.at(covered, chunk.first[whole], 1)
-            np.add.at(covered, chunk.last[whole] + 1, -1)
-            covered = np.cumsum(covered) > 0
-            split = flags(by_step[0], keys, buckets, "split")
+        for blobs in held.column("blobs"):
+            unit = opened(blobs.as_py())
+            keys, _, owner, entries = united(unit)
+            copied, split = (flags(by_step[0], keys, buckets, c) for c in ("copied", "split"))
+            places, again = [np.zeros(0, np.int64)] * len(unit), np.zeros(0, bool)
             if split.any():
-                at, ids, found = chunk.waiting(split, owner, entry)
+                places, ids, found = waiting_of(unit, entries, split, owner)
                 distinct, smallest, place = grouped_strings(ids, found)
                 again = flags(by_step[1], distinct, buckets, "copied")[place] | (ids > smallest[place])
-                covered[at[again]] = True
-            gone = removed(chunk, covered)
-            for i, (end, size) in enumerate(zip(chunk.ends.tolist(), chunk.sizes.tolist(), strict=True)):
-                cut = gone[end - size : end]
-                edges = np.flatnonzero(np.diff(cut.astype(np.int8), prepend=0, append=0))
-                text = chunk.text[end - size : end]
-                kept = np.frombuffer(text, np.uint8)[~cut].tobytes() if len(edges) else text
-                row = (int(chunk.ids[i]), int(chunk.hashes[i]), size, int(cut.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges.astype("<i8").tobytes() if with_spans else b"")
-                for name, value in zip(out, row, strict=True):
-                    out[name].append(value)
+            for chunk, entry, at, late in zip(unit, entries, places, np.split(again, np.cumsum([len(p) for p in places])[:-1]), strict=True):
+                settle(chunk, copied[entry] | (chunk.ids[chunk.doc] > owner[entry]), at[late], out)
         types = [pa.int64()] * 5 + [pa.string(), pa.binary()]
         return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), types, strict=True)})
 
+    def settle(chunk: Chunk, whole: np.ndarray, single: np.ndarray, out: dict[str, list]) -> None:
+        """Rows of the documents of a chunk: `whole` runs repeat, and the strings at `single`."""
+        covered = np.zeros(len(chunk.text) + 1, np.int32)
+        np.add.at(covered, chunk.first[whole], 1)
+        np.add.at(covered, chunk.last[whole] + 1, -1)
+        covered = np.cumsum(covered) > 0
+        covered[single] = True
+        gone = removed(chunk, covered)
+        for i, (end, size) in enumerate(zip(chunk.ends.tolist(), chunk.sizes.tolist(), strict=True)):
+            cut = gone[end - size : end]
+            edges = np.flatnonzero(np.diff(cut.astype(np.int8), prepend=0, append=0))
+            text = chunk.text[end - size : end]
+            kept = np.frombuffer(text, np.uint8)[~cut].tobytes() if len(edges) else text
+            row = (int(chunk.ids[i]), int(chunk.hashes[i]), size, int(cut.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges.astype("<i8").tobytes() if with_spans else b"")
+            for name, value in zip(out, row, strict=True):
+                out[name].append(value)
+
     return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(settled, RESULT)
 
 

@@ -83,9 +83,10 @@ def brute_strings(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeated_strings_equal_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "base"), [(1, 10**8), (2, 10**8), (3, 2_000)])
+def test_repeated_strings_equal_brute_force(spark, seed, base, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "BASE_BYTES", base)  # units of several chunks
     rows = [*corpus(seed), (7, "again " * 30, "s1"), (7, "again " * 30, "s1"), (900, "ab" * 300, "s1"), (901, "ab" * 310, "s1")]
     got = defaultdict(list)
     for r in suffix_dedup.repeats(frame(spark, rows)).collect():
