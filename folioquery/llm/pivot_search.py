@@ -9,7 +9,9 @@ bound of their inner product. The bound is used three times:
    its pairs with another block. Each block of queries first meets the row blocks of the highest bounds, up to
    `ROW_BLOCK` rows, which gives every query a k-th score; then only pairs of blocks whose bound reaches the least of
    these are shipped at all.
-2. A task, a block of queries and a block of candidates, evaluates candidates in the order of their bounds.
+2. A task, a block of queries and a block of candidates, drops the candidates whose bound against the ranges of its
+   queries reaches none of their k-th scores, and evaluates the others in the order of their bounds, now for each query
+   alone and by `CELL_PIVOTS` pivots (more of them cost more than the products that they spare).
 3. It stops when no remaining bound reaches the k-th best score of any of its queries.
 
 The results are merged by a ranking that keeps k rows for each query before it shuffles.
@@ -38,7 +40,7 @@ from .vectors import matrix, rows_of, usable
 
 PIVOTS, CELL_PIVOTS = 64, 16
 SAMPLE = 2_000
-QUERY_BLOCK, ROW_BLOCK, CHUNK = 256, 4_096, 1_024
+QUERY_BLOCK, ROW_BLOCK, CHUNK = 512, 8_192, 2_048
 PREPARED = "vec_id long, is_query boolean, cell int, v binary, d binary, norm double"
 FOUND = "query_id long, vec_id long, score long"
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -68,8 +70,20 @@ def cells_of(d: np.ndarray) -> np.ndarray:
     return (near[:, 0] * CELL_PIVOTS + (near[:, 1] if near.shape[1] > 1 else 0)).astype(np.int32)
 
 
+def packed(row: np.ndarray) -> bytes:
+    """In single precision where that is exact, else in double."""
+    return row.astype(np.float32).tobytes() if np.abs(row).max() < 2**24 else row.tobytes()
+
+
+def unpacked(column: pa.ChunkedArray, dimension: int) -> np.ndarray:
+    rows = column.to_pylist()
+    if all(len(r) == 4 * dimension for r in rows):
+        return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), dimension)
+    return np.array([np.frombuffer(r, np.float32 if len(r) == 4 * dimension else np.float64) for r in rows], np.float64)
+
+
 def prepared(vectors: DataFrame, is_query: Column, scale: int, pivots: np.ndarray) -> DataFrame:
-    """Scaled whole components as doubles, which hold them exactly, distances to the pivots, cells and lengths."""
+    """Scaled whole components as floating numbers that hold them exactly, distances to the pivots, cells and lengths."""
 
     def run(batches):
         for batch in batches:
@@ -81,7 +95,7 @@ def prepared(vectors: DataFrame, is_query: Column, scale: int, pivots: np.ndarra
             with np.errstate(over="ignore"):
                 norm = np.sqrt((x**2).sum(1))
             yield pa.RecordBatch.from_arrays(
-                [kept.column(0), kept.column(2), pa.array(cells_of(d), pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in d], pa.binary()), pa.array(norm, pa.float64())],
+                [kept.column(0), kept.column(2), pa.array(cells_of(d), pa.int32()), pa.array([packed(r) for r in x], pa.binary()), pa.array([r.tobytes() for r in d.astype(np.float32)], pa.binary()), pa.array(norm, pa.float64())],
                 names=[c.split()[0] for c in PREPARED.split(", ")],
             )
 
@@ -105,7 +119,7 @@ def ranges(table: DataFrame) -> DataFrame:
         held: dict[tuple[int, bool], list] = {}
         for batch in batches:
             cell, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            values = np.column_stack([matrix(batch.column(2), np.float64), batch.column(3).to_numpy()])
+            values = np.column_stack([matrix(batch.column(2), np.float32).astype(np.float64), batch.column(3).to_numpy()])
             for asking in (False, True):
                 for c in np.unique(cell[asks] if asking else cell).tolist():
                     mine = values[(cell == c) & asks] if asking else values[cell == c]
@@ -149,12 +163,12 @@ def block_bounds(asked: list[Block], held: list[Block]) -> tuple[np.ndarray, np.
 
 
 def upper_bound(q_norm, x_norm, least_distance):
-    """Of inner products, by lengths and distance; loosened by more than its rounding error, infinite where it overflows."""
+    """Of inner products, by lengths and distance; loosened by more than the rounding of single precision, infinite where it overflows."""
     with np.errstate(over="ignore", invalid="ignore"):
         size = q_norm**2 + x_norm**2
-        distance = np.maximum(least_distance - 1e-9 * (1 + q_norm + x_norm + least_distance), 0)
-        bound = np.minimum((size - distance**2) / 2, q_norm * x_norm) + 1e-9 * size
-    return np.where(np.isfinite(bound), bound, np.inf)
+        distance = np.maximum(least_distance - 1e-5 * (1 + q_norm + x_norm), 0)
+        bound = (size - distance**2) / 2 + 1e-5 * (1 + size)
+    return np.where(np.isfinite(bound), bound, np.inf).astype(bound.dtype)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -179,19 +193,27 @@ def products(q: np.ndarray, x: np.ndarray):
 
 def search_block(q_ids, q, q_d, q_norm, kth, ids, x, x_d, x_norm, k: int):
     """For each query of the block, its k best candidates of the block that reach `kth`; exact."""
+    low, high = q_d.min(0), q_d.max(0)
+    with np.errstate(invalid="ignore"):
+        gap = np.fmax(np.fmax(low - x_d, x_d - high).max(1), 0)
+    least = int(kth.min())
+    some = np.flatnonzero(upper_bound(q_norm.max(), x_norm, gap) >= least)
+    ids, x, x_d, x_norm = ids[some], x[some], x_d[some, :CELL_PIVOTS], x_norm[some]
     score = products(q, x)
-    apart = np.zeros((len(q), len(x)))
+    apart = np.zeros((len(q), len(x)), np.float32)
     with np.errstate(invalid="ignore"):
-        for p in range(q_d.shape[1]):
+        for p in range(x_d.shape[1]):
             np.fmax(apart, np.abs(q_d[:, p, None] - x_d[None, :, p]), out=apart)
-    upper = upper_bound(q_norm[:, None], x_norm[None, :], apart)
+    upper = upper_bound(q_norm.astype(np.float32)[:, None], x_norm.astype(np.float32)[None, :], apart)
     order = np.argsort(-upper.max(0), kind="stable")
-    rest = np.maximum.accumulate(upper[:, order[::-1]], axis=1)[:, ::-1]  # the best bound from here on, by query
+    starts = np.arange(0, len(order), CHUNK)
+    rest = np.maximum.reduceat(upper[:, order], starts, axis=1) if len(order) else np.zeros((len(q), 0))
+    rest = np.maximum.accumulate(rest[:, ::-1], axis=1)[:, ::-1]  # the best bound from each chunk on, by query
     top_ids = [np.zeros(0, np.int64)] * len(q)
     top_scores = [np.zeros(0, np.int64)] * len(q)
     kth = kth.copy()
-    for at in range(0, len(order), CHUNK):
-        open_queries = np.flatnonzero(rest[:, at] >= kth)
+    for n, at in enumerate(starts.tolist()):
+        open_queries = np.flatnonzero(rest[:, n] >= kth)
         if not len(open_queries):
             break
         these = order[at : at + CHUNK]
@@ -211,7 +233,7 @@ def search_block(q_ids, q, q_d, q_norm, kth, ids, x, x_d, x_norm, k: int):
     return top_ids, top_scores
 
 
-def compared(table: DataFrame, asked: list[Block], held: list[Block], pairs: list[tuple[int, int]], kth: DataFrame | None, k: int) -> DataFrame:
+def compared(table: DataFrame, asked: list[Block], held: list[Block], pairs: list[tuple[int, int]], kth: DataFrame | None, k: int, dimension: int) -> DataFrame:
     """FOUND for the pairs of blocks; each row is shipped only to the tasks of its pairs."""
     spark = table.sparkSession
 
@@ -229,7 +251,7 @@ def compared(table: DataFrame, asked: list[Block], held: list[Block], pairs: lis
     def run(block: pa.Table) -> pa.Table:
         asks = block.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         ids, norm, least = (block.column(c).to_numpy() for c in ("vec_id", "norm", "kth"))
-        v, d = matrix(block.column("v"), np.float64), matrix(block.column("d"), np.float64)
+        v, d = unpacked(block.column("v"), dimension), matrix(block.column("d"), np.float32)
         q, x = np.flatnonzero(asks), np.flatnonzero(~asks)
         out: tuple = ([], [], [])
         if len(q) and len(x):
@@ -263,6 +285,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, p
     rows = usable(vectors)
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(sample).collect()
     points = np.floor(scale * np.array([r[0] for r in drawn], np.float64)) if drawn else np.zeros((0, 1))
+    dimension = points.shape[1]
     points = choose_pivots(points[np.isfinite(points).all(1) & (np.abs(points).max(1, initial=0) < 1e150)], pivots)
     table = common.cut(prepared(rows, is_query, scale, points), "pivot-table")
     known = ranges(table).collect()  # at most CELL_PIVOTS ** 2 * 2 * (PIVOTS + 1) rows
@@ -271,7 +294,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, p
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     bound, apart = block_bounds(asked, held)
     first = seeds(bound, apart, held)
-    found = common.cut(ranked(compared(table, asked, held, sorted(first), None, k), k).drop("rank"), "pivot-seeds")
+    found = common.cut(ranked(compared(table, asked, held, sorted(first), None, k, dimension), k).drop("rank"), "pivot-seeds")
     kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
     kth = common.cut(kth.select(F.col("query_id").alias("vec_id"), "kth"), "pivot-kth")
     where = F.broadcast(spark.createDataFrame([(c, i) for i, b in enumerate(asked) for c in b.cells], "cell int, q int"))
@@ -281,7 +304,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, p
     if report is not None:
         report |= {"block_pairs": bound.size, "shipped": len(first) + len(rest)}
     if rest:
-        found = found.unionByName(compared(table, asked, held, rest, kth, k))
+        found = found.unionByName(compared(table, asked, held, rest, kth, k, dimension))
     return ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
