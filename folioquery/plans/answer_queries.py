@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioquery.config import DEFAULTS
 from folioquery.operators import answer, evaluate
 from folioquery.plans import corpus
 from folioquery.plans.corpus import SQL_CHUNKS, table
@@ -197,6 +198,16 @@ SQL = {
     "citation_dedupe": f"""WITH {SQL_CITED}, keyed AS (SELECT *, CASE WHEN place IS NULL THEN chunk_id END AS alone FROM paged)
       SELECT query_id, document_id, arg_min(chunk_id, rank) AS chunk_id, string_agg(rank::VARCHAR, ',' ORDER BY rank) AS markers, min(rank)::INT AS first_marker FROM keyed GROUP BY query_id, document_id, place, alone""",
     "prompt_blocks": f"WITH {SQL_CITED} SELECT query_id, rank::INT AS rank, block FROM blocks",
+    "compact_blocks": f"""WITH {SQL_CITED} SELECT query_id, rank::INT AS rank, '<document id="' || rank || '" relation="' || CASE WHEN rank > 4 THEN 'adjacent' ELSE 'primary' END || '" source="' || filename || '"'
+      || CASE WHEN clause_path <> '' THEN ' clause="' || clause_path || '"' WHEN section_id <> '' THEN ' section="' || section_id || '"' ELSE '' END || ' pages="' || page || '"' || coalesce(' chunk="' || chunk_index || '"', '') || '>' || chr(10)
+      || coalesce('Breadcrumb: ' || breadcrumb || chr(10), '') || CASE WHEN doc_id % 2 = 0 THEN 'Governing context: see &lt;documents> above' || chr(10) ELSE '' END || text || chr(10) || '</document>' AS block FROM paged""",
+    "chat_flagship": f"""WITH {corpus.SQL_RETRIEVAL}, blocks AS (SELECT query_id, f.rank, '<document index="' || f.rank || '" source="' || c.filename || '" chunk="?" clause="' || c.clause_path || '" printed_page="" pdf_page="" revision="">' || chr(10)
+      || '[' || f.rank || '] (' || c.clause_path || '; source: ' || c.filename || ')' || chr(10) || CASE WHEN trim(governing_context) <> '' THEN 'Short governing context: ' || trim(governing_context) || chr(10) ELSE '' END
+      || 'Quoted source text:' || chr(10) || c.text || chr(10) || '</document>' AS block FROM final f JOIN chunks c USING (chunk_id)),
+      costs AS (SELECT *, sum(length(block) + CASE WHEN rank > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS spent FROM blocks),
+      kept AS (SELECT query_id, count(*) AS used, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS body FROM costs JOIN questions USING (query_id)
+        WHERE spent <= greatest(0, {DEFAULTS.context_tokens} * 3 - {len(answer.SYSTEM_PROMPT) + len("<documents>..</documents>..Question: ")} - length(query) - 1024 * 3) GROUP BY query_id)
+      SELECT q.query_id, coalesce(used, 0)::INT AS used, length('<documents>' || chr(10) || coalesce(body, '{answer.NO_CONTEXT}') || chr(10) || '</documents>' || chr(10) || chr(10) || 'Question: ' || query)::INT AS prompt_chars FROM questions q LEFT JOIN kept k ON k.query_id = q.query_id""",
     "context_budget": f"WITH {SQL_CITED} SELECT query_id, rank::INT AS rank, spent::BIGINT AS spent FROM kept",
     "prompt_build": f"""WITH {SQL_CITED}, joined AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS body, count(*) AS used FROM kept GROUP BY query_id)
       SELECT b.item_id AS query_id, md5('<documents>' || chr(10) || coalesce(body, '(No relevant documents found)') || chr(10) || '</documents>' || chr(10) || chr(10) || 'Question: ' || b.text) AS prompt_md5, coalesce(used, 0) AS used
