@@ -45,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("line dedup", lines), ("MinHash near-dedup", minhash), ("mixing", mixing), ("best-fit packing", pack)]
-#: Fitted weights and byte-pair encoding are beyond SQL; tests/llm/test_pipeline.py checks run() against a brute-force version.
+#: Fitted weights and byte-pair encoding are beyond SQL; tests/llm/test_toxicity_and_pipeline.py checks every stage.
 ORACLE_SQL = None
 
 

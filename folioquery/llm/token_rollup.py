@@ -5,8 +5,10 @@ does both. Changes are summed by source, language and tokenizer version before t
 named after the batch that appears by one atomic rename; a batch that is already there is left alone, so
 replays and retries change nothing. Totals are the sums over all committed batches.
 
-Defined results: a null text counts as empty; null source and language are values of their own; rows that share
-a doc_id count each; groups whose documents have all gone stay, with zeros; only the columns named here are read.
+Defined results: a null text counts as empty, and long ones are encoded whole; null source and language are values of
+their own; rows that share a doc_id (or have none) count each; groups whose documents have all gone stay, with zeros;
+an empty table commits empty batches; only the columns named here are read. In the query a copy without doc_id never
+leaves, as it is not later than any.
 """
 
 from __future__ import annotations
@@ -79,7 +81,11 @@ class TokenRollup:
         # A hidden name: should two writers race for a batch, the loser's folder ends inside the winner's, unread.
         staged = f"{self.root}/.staged-{batch}-{uuid.uuid4().hex}"
         sums.write.parquet(staged)
-        return bool(self._fs.rename(self._path(staged), final))
+        if self._fs.rename(self._path(staged), final):
+            return True
+        if self._fs.exists(final):  # another writer came first, with the same batch
+            return False
+        raise OSError(f"the batch {batch} could not be committed")
 
     def totals(self) -> DataFrame:
         paths = [f"{self.root}/batch={b}" for b in self.batches()]

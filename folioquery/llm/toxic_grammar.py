@@ -8,12 +8,12 @@ pattern and how densely, so a score belongs to clauses, not to words; weights ar
 regression to labelled rows.
 
 The insult lexicon is learned from the same rows: prefixes and whole words whose share of toxic texts has a high
-lower bound. At most about `max_rows` labelled rows are used for fitting (all of them while there are fewer);
-everything else covers all texts, whole. Near copies would vote many times, so one text is kept for each
+lower bound, the `MAX_TERMS` of the highest bound at most. At most about `max_rows` labelled rows are used for fitting (all of
+them while there are fewer); everything else covers all texts, whole. Near copies would vote many times, so one text is kept for each
 smallest hash of its word pairs.
 
 Defined results: a null or empty text has no clause and gets the score of the intercept; a null doc_id is never
-held out and never labelled; repeated labels of a document count as toxic if one does; without labels of both
+held out and never labelled; long texts are scored whole; repeated rows are scored each; repeated labels of a document count as toxic if one does; without labels of both
 kinds the default weights stand; an empty table gives an empty table; other columns are carried along (one
 named like an added column is replaced by it).
 """
@@ -143,7 +143,8 @@ class Scorer:
         for match in self.hit.finditer(text):
             if match.start() < at:
                 continue
-            first = max((text.rfind(c, 0, match.start()) for c in ".!?;:\n"), default=-1) + 1
+            # Looked for since the end of the last clause only, so that long texts are read once.
+            first = max(at, max(text.rfind(c, at, match.start()) for c in ".!?;:\n") + 1)
             end = CLAUSE.search(text, match.end())
             at = end.end() if end else len(text)
             state = self.machine.start

@@ -43,6 +43,53 @@ def test_encoder_takes_only_single_separators_word_by_word():
         assert np.frombuffer(encode.packed(text), "<u4").tolist() == ids, text
 
 
+def test_encoder_equals_the_tokenizer_file_on_random_texts():
+    import json
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encode = Tokenizer.from_file(path), tokens.encoder("byte_bpe_50k.tiktoken", "byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as file:
+        special = [x["content"] for x in json.load(file).get("added_tokens", [])]
+    rng = random.Random(11)
+    parts = [" ", " ", "\n", "\t", "\r", "\u00a0", "\u3000", "a", "The", "foo", "é", "漢", "9", "12345", "'s", "'LL", ".", "!?", "x" * 40, *special]
+    for _ in range(3_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(encode.packed(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_rollup_query_equals_brute_force(spark, rows, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = [(i, t, ("en", "fr", None)[i % 3], s) for i, t, s in rows] + [(500, "tab\tand  blanks \n\n here", "fr", "s1"), (501, "w " * 12_000, "de", "s1"), (None, "none", "en", "s1")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    # The second vocabulary has no tokenizer file: its texts are encoded at once, not word by word.
+    size = {"byte_bpe_50k": lambda t: len(whole.encode(t, add_special_tokens=False).ids), "byte_bpe_multi_50k": lambda t: len(tokens.encoder("byte_bpe_multi_50k.tiktoken").whole(t))}
+    first = {}
+    for i, t, _, _ in docs:
+        first[t] = min(first.get(t, i), i) if i is not None and first.get(t, i) is not None else i
+    want: dict = defaultdict(lambda: [0, 0, 0])
+
+    def add(group, sign, text):
+        for k, n in enumerate((1, size[group[2]](text or ""), len((text or "").encode()))):
+            want[group][k] += sign * n
+
+    for i, t, lang, source in docs:
+        copy = i is not None and i > first[t]
+        add((source, lang, "byte_bpe_50k"), 1, t)
+        if copy or lang != "en":
+            add((source, lang, "byte_bpe_50k"), -1, t)
+        if not copy and lang != "en":
+            add((source, lang, "byte_bpe_multi_50k"), 1, t)
+    got = {(r["source"], r["lang"], r["tokenizer_version"]): [r["n_docs"], r["n_tokens"], r["n_bytes"]] for r in token_rollup.query(spark, str(tmp_path)).collect()}
+    assert got == dict(want)
+
+
 def test_rollup_counts_signs_and_replays(spark, rows):
     counted = common.cut(token_rollup.count_tokens(frame(spark, rows)), "t")
     rollup = token_rollup.TokenRollup(spark, common.fresh_path(spark, "rollup"))
@@ -151,8 +198,11 @@ def test_mix_draws_rates_beyond_the_underflow(spark, rate):
 
 
 def test_packing_round_trip(spark, rows):
-    encode = tokens.encoder("byte_bpe_50k.tiktoken", "byte_bpe_50k.json")
-    docs = [*rows, (500, "long words " * 3000, "s"), (0, "same id", "s")]
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = [*rows, (500, "long words " * 3000, "s"), (501, "End.  Start\tfoo bar", "s"), (502, "a\n\n\nb\tc\td", "s"), (0, "same id", "s")]
     out = packing.pack(frame(spark, docs)).collect()
     sequences, by_doc = defaultdict(list), defaultdict(list)
     for r in out:
@@ -167,7 +217,7 @@ def test_packing_round_trip(spark, rows):
     for doc_id, text, _ in docs:
         if doc_id == 0:
             continue
-        ids, at = encode.packed(text or "") + bytes(4), 0
+        ids, at = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes(), 0
         for r in sorted(by_doc[doc_id], key=lambda r: r["piece"]):
             assert r["start"] == at and r["ids_crc32"] == zlib.crc32(ids[4 * at : 4 * (at + r["length"])])
             assert r["piece"] == 0 or r["length"] == 2048
