@@ -7,7 +7,9 @@ values of either: only those rare values are kept as lists, and a sketch with fe
 has drops out. (t is exact for sets that fit into their sketches; for larger ones it is half the sketch, which a
 pair at the threshold misses about once in a million.) Lists that overlap form clusters, by contraction.
 
-Inside a cluster, blocks of documents are compared pair by pair of blocks, as far as a list connects the blocks.
+A cluster is dealt to blocks, and documents meet inside their block first; then one document of each component found
+so far meets others, round by round, until that joins few. What is left is exact: documents of different components
+are compared pair by pair of blocks, as far as a list connects the blocks, and blocks of one component never are.
 The union sketch of two documents estimates their similarity; estimates within `z` standard errors of the
 threshold or above are verified on the full sets, best first, and pairs that are connected already are left out.
 What is returned are the links of a spanning forest, so no group is expanded into all its pairs, and the classes
@@ -148,6 +150,69 @@ def verified(tasks: DataFrame, k: int, percent: int, z: float) -> DataFrame:
     return tasks.groupBy("g1", "g2", "g3").applyInArrow(run, "a long, b long")
 
 
+def contracted(large: DataFrame, links: DataFrame, k: int, percent: int, z: float) -> DataFrame:
+    """(a, b) links of large clusters: those given, and those among one document of each component, round by round.
+
+    A round compares blocks of such documents inside, and ends the contraction if it does not halve the components
+    of more than one document. What it misses is found between blocks later.
+    """
+    links = links.join(large.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+    heads = connected(links).select(F.col("root").alias("id")).distinct()
+    before = None
+    while True:
+        heads = common.cut(large.select("id", "root").distinct().join(heads, "id", "left_semi"), "bottomk-heads")
+        several = heads.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+        now = several.agg(F.sum("n")).first()[0] or 0
+        if not now or (before is not None and 2 * now > before):
+            return links
+        before = now
+        blocks = several.select("root", F.ceil(F.col("n") / BLOCK).alias("n"))
+        at = heads.join(blocks, "root").select("id", "root", F.pmod(F.xxhash64("id", F.lit(7)), F.col("n")).alias("g2"))
+        tasks = large.join(at, ["id", "root"]).select(F.col("root").alias("g1"), "g2", F.col("g2").alias("g3"), F.col("root").alias("cluster"), F.lit(0).alias("side"), "id", "shingles")
+        found = common.cut(verified(tasks, k, percent, z), "bottomk-links")
+        links = links.unionByName(found)
+        merged = connected(found).where("node <> root").select(F.col("node").alias("id"))
+        heads = heads.select("id").join(merged, "id", "left_anti")
+
+
+def between(large: DataFrame, lists: DataFrame, links: DataFrame, k: int, percent: int, z: float) -> DataFrame:
+    """(a, b) links of large clusters beyond those found inside the first blocks.
+
+    Components of at least a block get blocks of their own, which are never compared with each other; all other
+    documents share mixed blocks. So a group of copies that contraction joins costs no pairs of blocks at all.
+    """
+    known = common.cut(contracted(large, links, k, percent, z), "bottomk-contracted")
+    of = connected(known).select(F.col("node").alias("id"), F.col("root").alias("component"))
+    nodes = large.select("id", "root").distinct().join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = nodes.groupBy("root", "component").agg(F.count("*").alias("n"))
+    nodes = common.cut(nodes.join(sizes, ["root", "component"]).select("id", "root", F.when(F.col("n") >= BLOCK, F.col("component")).alias("pure")), "bottomk-nodes")
+    groups = nodes.groupBy("root", "pure").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    numbered = groups.select("root", "pure", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    numbered = common.cut(numbered.withColumn("block", F.monotonically_increasing_id()), "bottomk-numbers")
+    sized = groups.select(F.col("root").alias("r"), F.col("pure").alias("p"), "n")
+    nodes = nodes.join(sized, (F.col("root") == F.col("r")) & F.col("pure").eqNullSafe(F.col("p"))).select("id", "root", "pure", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")).cast("int").alias("i"))
+    named = numbered.select(F.col("root").alias("r"), F.col("pure").alias("p"), F.col("i").alias("j"), "block")
+    same = (F.col("root") == F.col("r")) & F.col("pure").eqNullSafe(F.col("p")) & (F.col("i") == F.col("j"))
+    nodes = common.cut(nodes.join(named, same).select("id", "root", "pure", "block"), "bottomk-dealt")
+
+    held = common.cut(lists.join(nodes, "id").select("root", "value", "pure", "block").distinct(), "bottomk-blocks")
+    mixed = held.where("pure IS NULL").select("root", "value", F.col("block").alias("g2"))
+    any_block = held.select("root", "value", F.col("block").alias("g3"), F.col("pure").isNotNull().alias("own"))
+    pairs = mixed.join(any_block, ["root", "value"]).where("own OR g2 <= g3").select("root", "g2", "g3").distinct()
+    owned = held.where("pure IS NOT NULL")
+    names = owned.select("root", "value", "pure").distinct()
+    two = names.join(names.withColumnRenamed("pure", "pure2"), ["root", "value"]).where("pure < pure2")
+    first = owned.select("root", "value", "pure", F.col("block").alias("g2"))
+    second = owned.select("root", "value", F.col("pure").alias("pure2"), F.col("block").alias("g3"))
+    across = two.join(first, ["root", "value", "pure"]).join(second, ["root", "value", "pure2"]).select("root", "g2", "g3").distinct()
+    pairs = common.cut(pairs.unionByName(across), "bottomk-pairs")
+    sides = F.expr("CASE WHEN g2 = g3 THEN array(struct(g2 AS block, 0 AS side)) ELSE array(struct(g2 AS block, 1 AS side), struct(g3 AS block, 2 AS side)) END")
+    sides = pairs.select("root", "g2", "g3", F.explode(sides).alias("x")).select("root", "g2", "g3", "x.block", "x.side")
+    tasks = large.join(nodes.select("id", "root", "block"), ["id", "root"]).join(sides, ["root", "block"])
+    tasks = tasks.select(F.col("root").alias("g1"), "g2", "g3", F.col("root").alias("cluster"), "side", "id", "shingles")
+    return known.unionByName(verified(tasks, k, percent, z))
+
+
 def classes(docs: DataFrame, k: int = K, percent: int = PERCENT, z: float = Z) -> DataFrame:
     """(id, h, n_shingles, component) for every row of docs; id is doc_id, and h the hash of the text."""
     base = common.cut(sketches(docs, k), "bottomk-base")
@@ -160,31 +225,25 @@ def classes(docs: DataFrame, k: int = K, percent: int = PERCENT, z: float = Z) -
     members = clusters.join(sizes, "root").select(F.col("node").alias("id"), "root", "blocks", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int").alias("block"))
     members = common.cut(members.join(equal.select("id", "h").distinct(), "id"), "bottomk-members")
 
-    # Clusters of one block are put together into tasks of about that size; others get a task for each pair of blocks.
-    single = members.where("blocks = 1")
-    bins = max(1, -(-single.count() // (2 * BLOCK)))
-    alone = single.select("id", "h", (-1 - F.pmod(F.xxhash64("root"), F.lit(bins))).alias("g1"), F.lit(0).alias("g2"), F.lit(0).alias("g3"), F.col("root").alias("cluster"), F.lit(0).alias("side"))
-    large = members.where("blocks > 1").select("id", "h", "root", "block")
-    in_block = common.cut(lists.join(large.select("id", "root", "block"), "id").select("root", "value", "block").distinct(), "bottomk-blocks")
-    other = in_block.withColumnRenamed("block", "block2")
-    pairs = common.cut(in_block.join(other, ["root", "value"]).where("block <= block2").select("root", "block", "block2").distinct(), "bottomk-pairs")
-    sides = pairs.select("root", F.col("block").alias("g2"), F.col("block2").alias("g3"), F.explode(F.expr("CASE WHEN block = block2 THEN array(struct(block AS block, 0 AS side)) ELSE array(struct(block AS block, 1 AS side), struct(block2 AS block, 2 AS side)) END")).alias("x"))
-    sides = sides.select("root", "g2", "g3", "x.block", "x.side")
-    spread = large.join(sides, ["root", "block"]).select("id", "h", F.col("root").alias("g1"), "g2", "g3", F.col("root").alias("cluster"), "side")
-
-    places = alone.unionByName(spread).groupBy("id", "h").agg(F.collect_list(F.struct("g1", "g2", "g3", "cluster", "side")).alias("places"))
-    places = common.cut(places, "bottomk-places")
-
+    # The full sets of clustered documents are made once; every comparison reads them from the shared folder.
     def full(batches):
         for batch in batches:
-            sets = pa.array([shingle_set(t or "").tobytes() for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["id", "places", "shingles"])
+            sets = pa.array([shingle_set(t or "").tobytes() for t in batch.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], names=["id", "root", "blocks", "block", "shingles"])
 
     texts = docs.select(common.id_key().alias("id"), F.xxhash64("text").alias("h"), "text")
-    texts = common.possible(texts, places, "id", "h").join(places, ["id", "h"]).select("id", "places", "text")
-    place = "array<struct<g1:bigint,g2:int,g3:int,cluster:bigint,side:int>>"
-    sets = texts.mapInArrow(full, f"id long, places {place}, shingles binary").select("id", "shingles", F.explode("places").alias("at"))
-    links = verified(sets.select("at.*", "id", "shingles"), k, percent, z)
+    texts = common.possible(texts, members, "id", "h").join(members, ["id", "h"]).select("id", "root", "blocks", "block", "text")
+    sets = common.cut(texts.mapInArrow(full, "id long, root long, blocks int, block int, shingles binary"), "bottomk-sets")
+
+    # Clusters of one block are put together into tasks of about that size; others first meet inside each block.
+    one = F.col("blocks") == 1
+    bins = max(1, -(-members.where(one).count() // (2 * BLOCK)))
+    place = [F.when(one, -1 - F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("g1"), F.col("block").cast("long").alias("g2")]
+    home = sets.select(*place, F.col("block").cast("long").alias("g3"), F.col("root").alias("cluster"), F.lit(0).alias("side"), "id", "shingles")
+    links = common.cut(verified(home, k, percent, z), "bottomk-links")
+    large = sets.where(~one).select("id", "root", "shingles")
+    if large.take(1):
+        links = links.unionByName(between(large, lists, links, k, percent, z))
     roots = connected(links).toDF("rep", "root")
     found = base.join(equal.withColumnRenamed("id", "rep").drop("h"), ["n", "sa", "sb"], "left").join(roots, "rep", "left")
     return found.select("id", "h", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component"))

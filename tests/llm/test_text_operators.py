@@ -375,6 +375,11 @@ def test_near_duplicates_equal_brute_force(spark, seed, monkeypatch):
         for _ in range(rng.randint(0, 6)):
             words[rng.randrange(len(words))] = "w"
         rows.append((1000 + i, " ".join(words).upper() if i % 2 else " ".join(words), "hot"))
+    half = base[:70] + sentence(rng, 50).split(" ")
+    for i in range(24):  # another group of several blocks that shares much with the first, but too little
+        words = list(half)
+        words[rng.randrange(len(words))] = f"v{i}"
+        rows.append((2000 + i, " ".join(words), "s1"))
     sets = {i: shingles(t) for i, t, _ in rows}
     union = Union(sets)
     ids = sorted(sets)
