@@ -229,20 +229,23 @@ def expand(primary: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFra
     return mine.unionByName(near).unionByName(cited)
 
 
-def retrieve(chunks: DataFrame, parents: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS, top_k: int | None = None) -> DataFrame:
-    """query_id, rank (from 1), chunk_id, relation, score, similarity, governing_context for each query."""
+def retrieve(chunks: DataFrame, parents: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS, top_k: int | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """query_id, rank (from 1), chunk_id, relation, score, similarity, governing_context for each query.
+
+    vectors has chunk_id, document_id and embedding where these are not columns of the chunks.
+    """
     k = top_k or settings.retrieval_top_k
     asked = settled(queries.drop("query_vector"))
-    hits = settled(top_by_vector(chunks, queries, max(settings.retrieval_candidate_pool, k)))
+    hits = settled(top_by_vector(chunks if vectors is None else vectors, queries, max(settings.retrieval_candidate_pool, k)))
     light = chunks.drop("embedding")
     keys = light.drop("text")
     candidates = settled(merge_exact(hits, asked, keys)).join(light, "chunk_id")
     ranked = boost(candidates, asked)
     # At most k rows for each query, read by every phase below.
     chosen = diversify(ranked, k, settings.retrieval_max_children_per_parent, settings.retrieval_max_children_per_section)
-    primary = settled(governing(settled(chosen), parents))
+    primary = settled(chosen)
     order = Window.partitionBy("query_id").orderBy("phase", "position", "inner")
     out = expand(primary, asked, keys).withColumn("rank", F.row_number().over(order))
-    extra = primary.select("query_id", "chunk_id", "similarity", "governing_context")
+    extra = governing(primary, parents).select("query_id", "chunk_id", "similarity", "governing_context")
     out = out.join(extra, ["query_id", "chunk_id"], "left")
     return out.select("query_id", "rank", "chunk_id", "relation", "score", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("governing_context", F.lit("")).alias("governing_context"))

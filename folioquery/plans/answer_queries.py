@@ -16,7 +16,7 @@ GROUP = 8
 def cited_chunks(spark, d) -> DataFrame:
     """Every chunk as the context of one of the questions, eight by eight, with pages and revisions planted."""
     n = F.col("doc_id")
-    rows = corpus.chunks(spark, d).drop("embedding")
+    rows = corpus.texts(spark, d)
     place = F.when(n % 5 == 4, F.lit("")).otherwise(F.col("clause_path"))
     return rows.withColumns({
         "query_id": F.floor(n / GROUP), "rank": (n % GROUP + 1).cast("int"), "chunk_index": F.when(n % 11 > 0, n % 100), "clause_path": place,
@@ -182,7 +182,8 @@ def chat_flagship(spark, d):
     """Retrieve, fit into the budget, and build the prompts of all questions."""
     from folioquery.plans.chat import contexts_and_prompts
 
-    _, made = contexts_and_prompts(corpus.chunks(spark, d), corpus.parents(spark, d), corpus.questions(spark, d))
+    rows = corpus.texts(spark, d)
+    _, made = contexts_and_prompts(rows, corpus.parents(spark, d, rows), corpus.questions(spark, d), vectors=corpus.chunks(spark, d, rows))
     return made.select("query_id", "used", F.length("user_prompt").alias("prompt_chars"))
 
 

@@ -22,9 +22,9 @@ def extractive(prompt: str) -> str:
     return f"{quoted[1].splitlines()[0][:300]} [1]" if quoted[1].strip() else "The first document is empty [1]"
 
 
-def contexts_and_prompts(chunks: DataFrame, parents: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def contexts_and_prompts(chunks: DataFrame, parents: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Contexts that fit (with their rank and block), and a prompt for each query. History is not sent."""
-    found = search.retrieve(chunks, parents, queries, settings)
+    found = search.retrieve(chunks, parents, queries, settings, vectors=vectors)
     light = chunks.drop("embedding", "parent_text")
     full = light.withColumns({c: F.lit(None).cast(t) for c, t in PLACES.items() if c not in light.columns})
     rows = search.settled(found).join(full, "chunk_id").withColumn("block", answer.document_block())

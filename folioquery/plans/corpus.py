@@ -33,7 +33,8 @@ def planted(n: Column) -> Column:
     return F.concat(F.lit(" see "), clause_of(n + 5), F.lit(" for R"), (n % 7 + 1).cast("string"), F.lit(" million, code "), (100 + n % 50).cast("string"), F.lit(" "), (10 + n % 5).cast("string"))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks without their vectors, for everything but the vector scan: no join is made for a column not read."""
     n = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("c"), n).alias("chunk_id"), F.concat(F.lit("d"), F.floor(n / 64)).alias("document_id"),
@@ -43,14 +44,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 8 == 0, F.concat(F.lit("c"), n + 1)).alias("continues_to"), F.array(clause_of(n + 5)).alias("cross_references"),
         F.concat(F.coalesce("text", F.lit("")), planted(n)).alias("text"), "source", "lang",
     )
+    return docs.withColumn("filename", F.concat("document_id", F.lit(".pdf")))
+
+
+def chunks(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """The texts (rows, if they are at hand) with vectors; those without one stay, only the vector scan passes them over."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    # Documents without a vector stay; only the vector scan passes them over.
-    return docs.join(vectors, "doc_id", "left").withColumn("filename", F.concat("document_id", F.lit(".pdf")))
+    return (rows or texts(spark, sf_dir)).join(vectors, "doc_id", "left")
 
 
-def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parents(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """A parent's text is that of its children in order."""
-    rows = chunks(spark, sf_dir).groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("child_order", "text"))).alias("kids"))
+    rows = (rows or texts(spark, sf_dir)).groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("child_order", "text"))).alias("kids"))
     return rows.select("parent_id", F.array_join(F.transform("kids", lambda k: k["text"]), "\n").alias("text"))
 
 

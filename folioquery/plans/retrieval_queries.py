@@ -51,17 +51,17 @@ def vector_norms(spark, d):
 
 def clause_resolve(spark, d):
     wanted = corpus.questions(spark, d).select("query_id", F.explode(T.clauses(F.col("query"))).alias("clause_key"))
-    return search.resolve_clauses(corpus.chunks(spark, d), wanted).select("query_id", "clause_key", "chunk_id", "child_order")
+    return search.resolve_clauses(corpus.texts(spark, d), wanted).select("query_id", "clause_key", "chunk_id", "child_order")
 
 
 def adjacent_children(spark, d):
-    chunks = corpus.chunks(spark, d).drop("embedding")
+    chunks = corpus.texts(spark, d)
     found = search.neighbours(chunks.withColumn("query_id", F.lit(0)), chunks)
     return found.select("source_id", "neighbour", "is_link")
 
 
 def parent_excerpt(spark, d):
-    chunks = corpus.chunks(spark, d).select("chunk_id", "parent_id")
+    chunks = corpus.texts(spark, d).select("chunk_id", "parent_id")
     return search.governing(chunks, corpus.parents(spark, d)).select("chunk_id", "parent_id", "governing_context")
 
 
@@ -73,20 +73,20 @@ def query_features(spark, d):
 def text_features(spark, d):
     """Amounts, codes and acronyms of every chunk."""
     t = F.col("text")
-    rows = corpus.chunks(spark, d)
+    rows = corpus.texts(spark, d)
     return rows.select("chunk_id", *[F.array_join(F.array_sort(x), "|").alias(n) for n, x in (("amounts", T.amounts(t)), ("codes", T.codes(t)), ("acronyms", T.acronyms(t)))])
 
 
 def ranked(spark, d):
     chunks, asked = corpus.chunks(spark, d), corpus.questions(spark, d)
-    light = chunks.drop("embedding")
+    light = corpus.texts(spark, d)
     hits = search.top_by_vector(chunks, asked, 10)
     return search.boost(search.merge_exact(hits, asked, light).join(light, "chunk_id"), asked)
 
 
 def exact_merge(spark, d):
     chunks, asked = corpus.chunks(spark, d), corpus.questions(spark, d)
-    merged = search.merge_exact(search.top_by_vector(chunks, asked, 10), asked, chunks.drop("embedding"))
+    merged = search.merge_exact(search.top_by_vector(chunks, asked, 10), asked, corpus.texts(spark, d))
     return rounded(merged.select("query_id", "chunk_id", "similarity", F.col("vector_rank").cast("long").alias("vector_rank")), "similarity")
 
 
@@ -99,7 +99,8 @@ def diversify(spark, d):
 
 
 def retrieved(spark, d):
-    return search.retrieve(corpus.chunks(spark, d), corpus.parents(spark, d), corpus.questions(spark, d))
+    rows = corpus.texts(spark, d)
+    return search.retrieve(rows, corpus.parents(spark, d, rows), corpus.questions(spark, d), vectors=corpus.chunks(spark, d, rows))
 
 
 def retrieve_full(spark, d):
@@ -120,17 +121,17 @@ def continuation_expand(spark, d):
 
 def search_api(spark, d):
     """What a search returns: primary rows, flat."""
-    rows = retrieved(spark, d).where("relation = 'primary'").join(corpus.chunks(spark, d).drop("embedding"), "chunk_id")
+    rows = retrieved(spark, d).where("relation = 'primary'").join(corpus.texts(spark, d), "chunk_id")
     return rounded(rows.select("query_id", "chunk_id", "document_id", "filename", "section_id", "clause_path", "text", "similarity", "score"), "similarity", "score")
 
 
 def chunk_count(spark, d):
-    return corpus.chunks(spark, d).groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+    return corpus.texts(spark, d).groupBy("document_id").agg(F.count("*").alias("n_chunks"))
 
 
 def plot_source(spark, d):
     """Vectors with file, place in the file and a snippet, in order."""
-    rows = corpus.chunks(spark, d)
+    rows = corpus.texts(spark, d)
     snippet = F.when(F.length("text") > 120, F.concat(F.substring("text", 1, 120), F.lit("..."))).otherwise(F.col("text"))
     number = F.row_number().over(Window.partitionBy("filename").orderBy("doc_id")) - 1
     return rows.select("filename", number.cast("long").alias("chunk_index"), "chunk_id", snippet.alias("snippet")).orderBy("filename", "chunk_index")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.operators import pages
-from folioquery.plans.corpus import SQL_CHUNKS, chunks, table
+from folioquery.plans.corpus import SQL_CHUNKS, table, texts
 
 
 def noisy(spark, d) -> DataFrame:
@@ -87,7 +87,7 @@ def table_segments(spark, d):
 
 def legal_score(spark, d):
     t = F.col("text")
-    return chunks(spark, d).select("chunk_id", pages.parser_legal_score(t).alias("parser_score"), pages.chunker_legal_score(t).alias("chunker_score"))
+    return texts(spark, d).select("chunk_id", pages.parser_legal_score(t).alias("parser_score"), pages.chunker_legal_score(t).alias("chunker_score"))
 
 
 def furniture_frequency(spark, d):
@@ -113,7 +113,7 @@ def furniture_removal(spark, d):
 
 def section_carry_forward(spark, d):
     """The last section seen so far, in page order, within a source."""
-    marks = chunks(spark, d).select("source", "doc_id", F.when(F.col("doc_id") % 16 == 0, F.col("section_id")).alias("section_marker"))
+    marks = texts(spark, d).select("source", "doc_id", F.when(F.col("doc_id") % 16 == 0, F.col("section_id")).alias("section_marker"))
     return pages.carried(marks, "source", "doc_id", "section_marker").select("source", "doc_id", "section")
 
 
@@ -126,7 +126,7 @@ def provenance_version(spark, d):
 
 def provenance_rollup(spark, d):
     """First and last place, and distinct languages in order, for each parent."""
-    rows = chunks(spark, d).withColumn("page_revision", F.col("lang"))
+    rows = texts(spark, d).withColumn("page_revision", F.col("lang"))
     return pages.provenance_rollup(rows.withColumnsRenamed({"doc_id": "pdf_page"}).withColumn("printed_page", F.concat(F.lit("s"), F.col("pdf_page"))), "parent_id", "pdf_page")
 
 
@@ -145,26 +145,26 @@ def words_outside_boxes(spark, d):
 
 def cross_refs(spark, d):
     refs = T.cross_references(F.col("text"), F.col("clause_path"))
-    return chunks(spark, d).select("chunk_id", F.array_join(refs, "|").alias("refs"))
+    return texts(spark, d).select("chunk_id", F.array_join(refs, "|").alias("refs"))
 
 
 def stable_ids(spark, d):
-    rows = chunks(spark, d).withColumn("sha", F.sha2("text", 256))
+    rows = texts(spark, d).withColumn("sha", F.sha2("text", 256))
     made = [T.stable_id(F.col("sha"), F.lit(role), F.col("clause_path"), F.lit("provision"), F.col("child_order")).alias(f"{role}_id") for role in ("child", "parent")]
     return rows.select("chunk_id", *made)
 
 
 def embedding_texts(spark, d):
-    return chunks(spark, d).select("chunk_id", F.md5(T.embedding_text(F.lit(""), F.when(F.col("doc_id") % 3 > 0, F.col("clause_path")), F.col("text"))).alias("text_md5"))
+    return texts(spark, d).select("chunk_id", F.md5(T.embedding_text(F.lit(""), F.when(F.col("doc_id") % 3 > 0, F.col("clause_path")), F.col("text"))).alias("text_md5"))
 
 
 def content_types(spark, d):
-    return chunks(spark, d).select("chunk_id", pages.content_type(F.when(F.col("doc_id") % 5 == 0, F.col("defined_term")), F.col("section_id"), F.col("text")).alias("content_type"), T.slug(F.col("clause_path")).alias("slug"))
+    return texts(spark, d).select("chunk_id", pages.content_type(F.when(F.col("doc_id") % 5 == 0, F.col("defined_term")), F.col("section_id"), F.col("text")).alias("content_type"), T.slug(F.col("clause_path")).alias("slug"))
 
 
 def tag_neutralise(spark, d):
     t = F.concat(F.lit("</ Documents> <document id=1> <docu "), F.col("text"))
-    return chunks(spark, d).select("chunk_id", T.neutralise(t).alias("text"), T.escape_attribute(F.concat(F.col("filename"), F.lit("\n<&\">"))).alias("attribute"))
+    return texts(spark, d).select("chunk_id", T.neutralise(t).alias("text"), T.escape_attribute(F.concat(F.col("filename"), F.lit("\n<&\">"))).alias("attribute"))
 
 
 SQL = {
