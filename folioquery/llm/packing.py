@@ -1,12 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
-Documents longer than a sequence are cut, the first piece taking the remainder. Pieces are packed by
-bulk-synchronous best fit. Lengths and gaps are whole numbers up to the capacity, so the sorted documents and
-the sorted gaps are kept as runs of equal length: a run of pieces is (length, ranks), a run of open sequences
-is (gap, sequence numbers). In each round the longest waiting run sweeps to its successor, the smallest gap
-that holds it; ranks decide which piece gets which sequence, the gaps are updated, and the next round begins.
-That is sequential best fit in decreasing order of length, but the plan has some thousand runs whatever the
-number of documents; the pieces themselves only get a rank within their length and look up their run.
+Documents longer than a sequence are cut, the first piece taking the remainder. Lengths and gaps are whole
+numbers up to the capacity, so the sorted pieces and the sorted gaps are kept as runs of equal length: a run of
+pieces is (length, ranks), a run of open sequences is (gap, sequence numbers). The longest waiting run sweeps to
+its successor, the smallest gap that holds it; ranks decide which piece gets which sequence, the gaps are
+updated, and so on. This is sequential best fit in decreasing order of length, worked out on the driver from the
+number of pieces of each length, at most `capacity` rows; there are no distributed rounds. The plan has some
+thousand runs; the pieces themselves only get a rank within their length and look up their run.
 
 Defined results: a null text is an empty one (a single end token); rows that share a doc_id are packed each;
 an empty table gives no pieces; only doc_id and text are read.
